@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from notegraph.llm import dedup, simhash
+from notegraph.llm import dedup, mixing, packing, simhash, tokens
 from notegraph.llm.common import documents
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_source_mix": lambda spark, sf: mixing.op2(spark, documents(spark, sf)),
+        "op5_token_counts": lambda spark, sf: tokens.op5(spark, documents(spark, sf)),
         "op7_simhash": lambda spark, sf: simhash.op7(spark, documents(spark, sf)),
+        "op8_packing": lambda spark, sf: packing.op8(spark, documents(spark, sf)),
         "op9_exact_dedup": lambda spark, sf: dedup.op9(spark, documents(spark, sf)),
     }
 
