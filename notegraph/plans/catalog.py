@@ -6,10 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from notegraph.plans import graph_queries
+
+MODULES = (graph_queries,)
+
+
+def _all() -> dict:
+    found: dict = {}
+    for m in MODULES:
+        twice = found.keys() & m.QUERIES.keys()
+        if twice:
+            raise ValueError(f"registered twice: {sorted(twice)}")
+        found |= m.QUERIES
+    return found
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {k: f for k, (f, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: q for k, (_, q) in _all().items() if q is not None}
