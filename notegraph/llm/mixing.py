@@ -118,7 +118,7 @@ def placed(sized: DataFrame, targeted: DataFrame) -> DataFrame:
     totals = totals.select("number", "chunk", F.coalesce(F.sum("words").over(past), F.lit(0)).alias("base"))
     near = Window.partitionBy("number", "chunk").orderBy("row_id").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("within", F.coalesce(F.sum("size").over(near), F.lit(0)))
-    return rows.join(totals, ["number", "chunk"]).select(
+    return rows.join(totals.hint("merge"), ["number", "chunk"]).select(
         "row_id", "doc_id", "size", "number", (F.col("base") + F.col("within")).alias("start")
     )
 
@@ -132,11 +132,12 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
     pieces = at.withColumn("block", F.explode(F.expr(f"sequence(start div {block}, (end - 1) div {block})")))
     words = F.least("end", (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block)
     pieces = pieces.select("row_id", "number", "block", words.alias("words"))
-    taken = pieces.join(drawn, ["number", "block"]).groupBy("row_id").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
+    # by sort-merge: packed rows look small to the planner, and a copy of them in every task would grow with the input
+    taken = pieces.join(drawn.hint("merge"), ["number", "block"]).groupBy("row_id").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
     full = sized.join(targeted, sized["source"].eqNullSafe(targeted["source"])).select(
         sized["row_id"], "doc_id", "size", sized["source"], "source_size", "target"
     )
-    return full.join(taken, "row_id", "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
+    return full.join(taken.hint("merge"), "row_id", "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
 
 
 def mixed_documents(docs: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
@@ -146,7 +147,7 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, shard: int = SHARD) ->
     targeted = targets(sized, block=block)
     drawn = drawn_blocks(shard_counts(targeted, shard))
     at = placed(sized, targeted).select("doc_id", "number", F.expr(f"start div {block}").alias("block"))
-    uses = at.join(drawn, ["number", "block"]).groupBy("doc_id").agg(F.max("uses").alias("uses"))
+    uses = at.join(drawn.hint("merge"), ["number", "block"]).groupBy("doc_id").agg(F.max("uses").alias("uses"))
     uses = uses.unionByName(sized.where("size = 0").select("doc_id", F.lit(1).cast("long").alias("uses")))
     uses = cut(uses.groupBy(F.col("doc_id").alias("__id")).agg(F.max("uses").alias("__uses")), "uses")
     met = docs.join(uses, docs["doc_id"].eqNullSafe(uses["__id"]))
