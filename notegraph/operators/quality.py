@@ -23,7 +23,7 @@ def folds(rows: DataFrame, n: int = 3) -> DataFrame:
     return rows.withColumn("fold", F.pmod(rank, F.lit(n)))
 
 
-def linear_probe(vectors: DataFrame, dims: list[int], n: int = 3) -> DataFrame:
+def linear_probe(vectors: DataFrame, dims: list[int], n: int = 3, iterations: int = 200) -> DataFrame:
     """``dims, accuracy``: cross-validated logistic regression on (id, vec, label). The loop is over settings."""
     spark = vectors.sparkSession
     dealt = folds(vectors, n).persist()
@@ -32,7 +32,7 @@ def linear_probe(vectors: DataFrame, dims: list[int], n: int = 3) -> DataFrame:
         rows = truncated(dealt, d).select(array_to_vector("vec").alias("features"), F.col("label").cast("double").alias("label"), "fold").persist()
         right = total = 0
         for k in range(n):
-            model = LogisticRegression(maxIter=200).fit(rows.where(F.col("fold") != k))
+            model = LogisticRegression(maxIter=iterations).fit(rows.where(F.col("fold") != k))
             r, t = model.transform(rows.where(F.col("fold") == k)).agg(F.count_if(F.col("prediction") == F.col("label")), F.count("*")).first()
             right, total = right + r, total + t
         rows.unpersist()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from notegraph.functions.vectors import dot, head, norm, unit
 from notegraph.operators import cluster as C
+from notegraph.operators import density as D
 from notegraph.operators import quality as I
 from notegraph.plans.views import table
 
@@ -74,6 +75,20 @@ def probe_scores(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
+def hub_stability(spark: SparkSession, sf: str) -> DataFrame:
+    """Agreement of two seeded k-means runs inside each length tertile of the labelled vectors."""
+    lengths = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.char_length("text").cast("long").alias("length"))
+    rows = vecs(spark, sf).drop("label").join(I.length_tertiles(lengths), "id").persist()
+    out = None
+    for bucket in ("short", "medium", "long"):
+        part = rows.where(F.col("bucket") == bucket).select("id", "vec")
+        one, two = (C.kmeans(part, 4, 32, seed) for seed in (1, 2))
+        pairs = one.select("id", F.col("label").alias("la")).join(two.select("id", F.col("label").alias("lb")), "id")
+        ari = I.adjusted_rand(pairs).select(F.lit(bucket).alias("bucket"), "ari")
+        out = ari if out is None else out.unionByName(ari)
+    return out
+
+
 DAGS = [C.Pass("fine", 32, 3, "areas"), C.Pass("areas", 64, 4)]
 
 UNIT = "list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE)))))"
@@ -182,6 +197,8 @@ QUERIES = {
         lambda s, d: table(s, d, "documents").join(table(s, d, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_semi").select("doc_id", F.substring("text", 1, 500).alias("snippet")),
         "SELECT doc_id, substr(text, 1, 500) AS snippet FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)",
     ),
+    "density_clusters": (lambda s, d: D.density(vecs(s, d).select("id", "vec"), 5, 4, quantile=0.3), None),
+    "hub_stability": (hub_stability, None),
     "kmeans": (lambda s, d: C.kmeans(vecs(s, d).select("id", "vec"), 8), None),
     "cluster_within": (lambda s, d: C.cluster_within(vecs(s, d).select("id", "vec"), labels(s, d), 3), None),
     "kmeans_grid": (lambda s, d: C.kmeans_grid(vecs(s, d).select("id", "vec"), [16, 64], [4, 8]), None),
@@ -203,7 +220,7 @@ QUERIES = {
         SELECT round(db, 6) AS davies_bouldin, round((b / ((SELECT count(*) FROM s) - 1)) / ((SELECT sum(w) FROM s) / ((SELECT count(*) FROM v) - (SELECT count(*) FROM s))), 4) AS calinski_harabasz FROM db, bb""",
     ),
     "silhouette": (lambda s, d: I.cluster_quality(vecs(s, d)), None),
-    "linear_probe": (lambda s, d: I.linear_probe(vecs(s, d), [8, 64]), None),
+    "linear_probe": (lambda s, d: I.linear_probe(vecs(s, d), [8, 64], iterations=30), None),
     "ari": (
         lambda s, d: I.adjusted_rand(times(s, d).join(labels(s, d), "id").select(F.col("label").alias("la"), F.col("event_type").alias("lb"))),
         f"""WITH {L}, {T}, c AS (SELECT label AS la, event_type AS lb, count(*) AS n FROM t JOIN l USING (id) GROUP BY 1, 2),

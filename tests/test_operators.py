@@ -162,3 +162,16 @@ def test_exports(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "j")).first().content == "text"
     N.export_markdown(seg, str(tmp_path / "m"))
     assert "## H (p.md)" in [r.value for r in spark.read.text(str(tmp_path / "m")).collect()]
+
+
+def test_density_finds_blobs_and_noise(spark):
+    from notegraph.operators import density as D
+
+    v = blobs(spark).select("id", "vec").unionByName(spark.createDataFrame([("far", [9.0] * 8), ("lone", [-9.0] * 8)], "id string, vec array<double>"))
+    got = {r.id: r.label for r in D.density(v, 5, 4, reach=0.5).collect()}
+    assert got["far"] == got["lone"] == -1
+    for c in range(3):
+        assert len({got[f"{c}-{k}"] for k in range(20)}) == 1
+    assert {x for x in got.values() if x >= 0} == {0, 1, 2}
+    few = D.neighbours(v, 3, cell=20, tables=8)
+    assert few.groupBy("a").count().where("count > 3").count() == 0
