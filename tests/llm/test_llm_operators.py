@@ -164,6 +164,44 @@ def test_large_key_is_dealt_in_chunks(spark, monkeypatch):
     assert [label.get(k, k) for k in range(len(fps))] == brute_components(fps)
 
 
+def test_wide_slices_find_all_close_pairs():
+    r = np.random.default_rng(0)
+    base = r.integers(0, 2**63, (5, 8), dtype=np.uint64)
+    fps = []
+    for k in range(260):
+        f = base[k % 5].copy()
+        for b in r.choice(512, r.integers(0, 140), replace=False):
+            f[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+        fps.append(f)
+    fps, end = np.array(fps), np.concatenate([np.full(100, 100), np.full(160, 260)])
+    got = set(zip(*(x.tolist() for x in simhash.within(fps, end, 80)), strict=True))
+    assert got == {(a, b) for a in range(260) for b in range(a + 1, end[a]) if sum(bin(int(x)).count("1") for x in fps[a] ^ fps[b]) <= 80}
+
+
+def test_similar_documents(spark, docs, none, monkeypatch):
+    """Edited copies at a similarity well over 0.8 are linked, well under it are not; chunks of large keys lose nothing."""
+    monkeypatch.setattr(simhash, "CHUNK", 8)
+    r = random.Random(4)
+    texts, group = [], []
+    for g in range(6):
+        base = prose(300, 700 + g).split()
+        for k in range(12):
+            w = list(base)
+            for at in r.sample(range(300), 3 if k < 11 else 60):
+                w[at] = f"new{g}{k}{at}"
+            texts.append(" ".join(w))
+            group.append(g if k < 11 else (g, "far"))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in simhash.similar_groups(d).collect()}
+    first = {}
+    for k, g in enumerate(group):
+        assert got[k] == first.setdefault(g, k)
+    assert simhash.similar_groups(none).count() == 0
+    edge = {x.doc_id: x.component_id for x in simhash.similar_groups(docs).collect()}
+    assert edge[0] == edge[1] == edge[2] == 0 and edge[6] == edge[7] == edge[8] == 6 and edge[9] == edge[900] == edge[10] == 9
+    assert simhash.keep_one(docs).columns == docs.columns
+
+
 # 2 mixing ----------------------------------------------------------------------------------------------------------
 
 

@@ -21,7 +21,7 @@ def test_stages(spark, sf):
             want = {r.doc_id for r in dedup.exact_groups(before).where("kept").collect()}
             assert sorted(r.doc_id for r in docs.select("doc_id").collect()) == sorted(want)
         if name == "near_dedup":
-            want = {r.component_id for r in simhash.near_groups(before).collect()}
+            want = {r.component_id for r in simhash.similar_groups(before).collect()}
             assert sorted(r.doc_id for r in docs.select("doc_id").collect()) == sorted(want)
         if name == "mix":
             n = docs.groupBy("doc_id").count().collect()
