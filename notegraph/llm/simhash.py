@@ -29,7 +29,7 @@ from notegraph.llm.common import arrow_of, cut, slim
 RADIUS = 3
 BANDS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 CHUNK = 2048
-SLICE = 1 << 18
+SLICE = 1 << 15
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -94,8 +94,8 @@ def _lanes(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return up & ~down
 
 
-def close_pairs(fps: np.ndarray, end: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (r, s) with r < s < end[r] and at most ``radius`` (3) differing bits, by bit-sliced comparison.
+def close_pairs(fps: np.ndarray, end: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (r, s) with r < s < end[r] and at most ``radius`` (3) differing bits, by bit-sliced comparison, some at a time.
 
     ``end``: for each row the end of its key's run; rows of a key are adjacent.
     """
@@ -108,7 +108,6 @@ def close_pairs(fps: np.ndarray, end: np.ndarray, radius: int = RADIUS) -> tuple
     first = (np.arange(n) + 1) // 64
     count = np.maximum(0, (end + 63) // 64 - first)
     total = np.cumsum(count)
-    found_r, found_s = [], []
     row = 0
     while row < n:
         stop = max(row + 1, int(np.searchsorted(total, (total[row - 1] if row else 0) + SLICE, side="right")))
@@ -136,34 +135,32 @@ def close_pairs(fps: np.ndarray, end: np.ndarray, radius: int = RADIUS) -> tuple
         if len(r):
             hit = np.unpackbits((lanes & ~over).view(np.uint8), bitorder="little").reshape(-1, 64)
             at, lane = np.nonzero(hit)
-            found_r.append(r[at])
-            found_s.append(blk[at] * 64 + lane)
-    if not found_r:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(found_r), np.concatenate(found_s)
+            yield r[at], blk[at] * 64 + lane
 
 
-def smallest_linked(n: int, r: np.ndarray, s: np.ndarray) -> np.ndarray:
-    """For each of n rows the smallest row that the pairs connect it with."""
+def smallest_linked(n: int, parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """For each of n rows the smallest row that the pairs connect it with. Pairs come in parts and none is kept."""
     label = np.arange(n)
-    while len(r):
-        low = np.minimum(label[r], label[s])
-        np.minimum.at(label, label[r], low)
-        np.minimum.at(label, label[s], low)
-        while True:
-            jumped = label[label]
-            if (jumped == label).all():
-                break
-            label = jumped
-        keep = label[r] != label[s]
-        r, s = r[keep], s[keep]
+    for r, s in parts:
+        while len(r):
+            r, s = label[r], label[s]
+            apart = r != s
+            r, s = r[apart], s[apart]
+            low = np.minimum(r, s)
+            np.minimum.at(label, r, low)
+            np.minimum.at(label, s, low)
+            while True:
+                jumped = label[label]
+                if (jumped == label).all():
+                    break
+                label = jumped
     return label
 
 
 def _link_run(keys: np.ndarray, fps: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     new = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1 if keys[0] > np.iinfo(np.int64).min else 1))
     end = np.repeat(np.append(new[1:], len(keys)), np.diff(np.append(new, len(keys))))
-    label = smallest_linked(len(keys), *close_pairs(fps, end))
+    label = smallest_linked(len(keys), close_pairs(fps, end))
     moved = np.flatnonzero(label != np.arange(len(keys)))
     return ids[moved], ids[label[moved]]
 
@@ -233,7 +230,7 @@ def near_groups(docs: DataFrame, width: int = 3) -> DataFrame:
 
 # similar documents ------------------------------------------------------------------------------------------------
 
-WIDE, KEYS, LEAST, MARGIN = 8, 8, 0.8, 0.02
+WIDE, KEYS, LEAST, MARGIN = 8, 8, 0.8, 0.04
 SPREAD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9], np.uint64)
 
 
@@ -266,7 +263,7 @@ def most_bits(least: float) -> int:
     return int(np.arccos(share) / np.pi * 64 * WIDE)
 
 
-def within(fps: np.ndarray, end: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def within(fps: np.ndarray, end: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Like :func:`close_pairs` for fingerprints of several words (rows of ``fps``) and any radius.
 
     The distances of a block's 64 lanes are a vertical binary counter; a plane is added by rippling its carry, and the
@@ -280,10 +277,9 @@ def within(fps: np.ndarray, end: np.ndarray, radius: int) -> tuple[np.ndarray, n
     count = np.maximum(0, (end + 63) // 64 - first)
     total = np.cumsum(count)
     depth = (64 * wide).bit_length()
-    found_r, found_s = [], []
     row = 0
     while row < n:
-        stop = max(row + 1, int(np.searchsorted(total, (total[row - 1] if row else 0) + SLICE // 4, side="right")))
+        stop = max(row + 1, int(np.searchsorted(total, (total[row - 1] if row else 0) + SLICE, side="right")))
         c = count[row:stop]
         r = np.repeat(np.arange(row, stop), c)
         blk = first[r] + np.arange(len(r)) - np.repeat(np.cumsum(c) - c, c)
@@ -314,11 +310,7 @@ def within(fps: np.ndarray, end: np.ndarray, radius: int) -> tuple[np.ndarray, n
                     break
         if len(r):
             at, lane = np.nonzero(np.unpackbits(lanes.view(np.uint8), bitorder="little").reshape(-1, 64))
-            found_r.append(r[at])
-            found_s.append(blk[at] * 64 + lane)
-    if not found_r:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(found_r), np.concatenate(found_s)
+            yield r[at], blk[at] * 64 + lane
 
 
 def similar_groups(docs: DataFrame, width: int = 5, least: float = LEAST) -> DataFrame:
@@ -363,7 +355,7 @@ def similar_groups(docs: DataFrame, width: int = 5, least: float = LEAST) -> Dat
     def one(cells: np.ndarray, ids: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
         new = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
         end = np.repeat(np.append(new[1:], len(cells)), np.diff(np.append(new, len(cells))))
-        label = smallest_linked(len(cells), *within(fps, end, radius))
+        label = smallest_linked(len(cells), within(fps, end, radius))
         moved = np.flatnonzero(label != np.arange(len(cells)))
         return pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], schema=edge_schema)
 
