@@ -381,9 +381,15 @@ def similar_groups(docs: DataFrame, width: int = 5, least: float = LEAST) -> Dat
 
 
 def keep_one(docs: DataFrame, width: int = 5, least: float = LEAST) -> DataFrame:
-    """The documents with one of every group of similar ones: that with the smallest doc_id; all columns stay."""
-    lost = similar_groups(docs, width, least).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__id"))
-    lost = cut(lost.distinct(), "near-dropped")
+    """The documents with one of every group of similar ones: that with the smallest doc_id; all columns stay.
+
+    Documents go by their id. One that stands for a group is never dropped, even if another row with that id belongs to
+    a different group; rows with a null id stay.
+    """
+    groups = cut(similar_groups(docs, width, least), "similar")
+    kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id"))
+    lost = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
+    lost = cut(lost.join(kept, "__id", "left_anti"), "near-dropped")
     return docs.join(lost, docs["doc_id"] == lost["__id"], "left_anti")
 
 

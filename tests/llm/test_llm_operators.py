@@ -200,6 +200,8 @@ def test_similar_documents(spark, docs, none, monkeypatch):
     edge = {x.doc_id: x.component_id for x in simhash.similar_groups(docs).collect()}
     assert edge[0] == edge[1] == edge[2] == 0 and edge[6] == edge[7] == edge[8] == 6 and edge[9] == edge[900] == edge[10] == 9
     assert simhash.keep_one(docs).columns == docs.columns
+    twice = spark.createDataFrame([(1, prose(80, 1)), (2, prose(80, 2)), (2, prose(80, 1)), (3, prose(80, 2))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(twice).collect()) == [1, 2, 2], "an id that stands for a group stays"
 
 
 # 2 mixing ----------------------------------------------------------------------------------------------------------
