@@ -150,7 +150,7 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, shard: int = SHARD) ->
     uses = at.join(drawn.hint("merge"), ["number", "block"]).groupBy("doc_id").agg(F.max("uses").alias("uses"))
     uses = uses.unionByName(sized.where("size = 0").select("doc_id", F.lit(1).cast("long").alias("uses")))
     uses = cut(uses.groupBy(F.col("doc_id").alias("__id")).agg(F.max("uses").alias("__uses")), "uses")
-    met = docs.join(uses, docs["doc_id"].eqNullSafe(uses["__id"]))
+    met = docs.join(uses.hint("merge"), docs["doc_id"].eqNullSafe(uses["__id"]))
     return met.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__uses").cast("int")))).select(*[docs[c] for c in docs.columns])
 
 
