@@ -230,7 +230,9 @@ def near_groups(docs: DataFrame, width: int = 3) -> DataFrame:
 
 # similar documents ------------------------------------------------------------------------------------------------
 
-WIDE, KEYS, LEAST, MARGIN = 8, 8, 0.8, 0.04
+WIDE, KEYS, LEAST = 8, 8, 0.8
+#: Sets of at most ``SHORT`` shingles are compared by parities; a chunk of a group holds about ``WEIGHT`` shingles at most.
+SHORT, WEIGHT = 80, 1 << 19
 SPREAD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9], np.uint64)
 
 
@@ -257,12 +259,6 @@ def wide_fingerprint(hashes: np.ndarray, step: int = 1 << 14) -> np.ndarray:
     return np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)
 
 
-def most_bits(least: float) -> int:
-    """The differing bits that a Jaccard similarity of ``least`` gives two sets of one size, on average."""
-    share = 2 * least / (1 + least)
-    return int(np.arccos(share) / np.pi * 64 * WIDE)
-
-
 def within(fps: np.ndarray, end: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Like :func:`close_pairs` for fingerprints of several words (rows of ``fps``) and any radius.
 
@@ -313,68 +309,165 @@ def within(fps: np.ndarray, end: np.ndarray, radius: int) -> Iterator[tuple[np.n
             yield r[at], blk[at] * 64 + lane
 
 
+def loose_bits(least: float) -> int:
+    """The differing bits that next to no pair at a Jaccard similarity of ``least`` exceeds: five deviations over the mean."""
+    p = np.arccos(2 * least / (1 + least)) / np.pi
+    return int(64 * WIDE * p + 5 * (64 * WIDE * p * (1 - p)) ** 0.5)
+
+
+def odd_bits(hashes: np.ndarray) -> np.ndarray:
+    """``WIDE`` words of parities: each shingle turns over one bit, so two sets differ in at most as many bits as shingles."""
+    count = np.bincount((hashes >> np.uint64(55)).astype(np.int64), minlength=64 * WIDE)
+    return np.packbits(count & 1, bitorder="little").view(np.uint64)
+
+
+def near_sizes(pairs: Iterator[tuple[np.ndarray, np.ndarray]], n: np.ndarray, odd: np.ndarray | None, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs whose numbers of shingles, and of differing parities if given, allow a similarity of ``least``."""
+    for r, s in pairs:
+        for lo in range(0, len(r), 1 << 17):
+            a, b = r[lo : lo + (1 << 17)], s[lo : lo + (1 << 17)]
+            on = np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b]) - 1e-9
+            if odd is not None:
+                on &= np.bitwise_count(odd[a] ^ odd[b]).sum(axis=1) <= (n[a] + n[b]) * (1 - least) / (1 + least) + 1e-9
+            yield a[on], b[on]
+
+
+def linked_sets(values: np.ndarray, size: np.ndarray, least: float) -> np.ndarray:
+    """For each set (``size`` of the ``values`` each) the first set that similarities of ``least`` or more connect it with."""
+    kinds, codes = np.unique(values, return_inverse=True)
+    start = np.append(0, np.cumsum(size))
+    label, mark = np.arange(len(size)), np.zeros(len(kinds), np.int32)
+    rest, open_ = np.arange(len(size)), codes
+    while len(rest) > 1:
+        seed = rest[0]
+        queue, rest, open_ = [seed], rest[1:], open_[size[seed] :]
+        while queue and len(rest):
+            r = queue.pop()
+            own = codes[start[r] : start[r + 1]]
+            mark[own] = 1
+            n = size[rest]
+            shared = np.add.reduceat(mark[open_], np.cumsum(n) - n)
+            mark[own] = 0
+            hit = shared / (n + size[r] - shared) >= least
+            if hit.any():
+                label[rest[hit]] = seed
+                queue.extend(rest[hit])
+                rest, open_ = rest[~hit], open_[np.repeat(~hit, n)]
+    return label
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns (lists as their lengths and values) in runs of whole cells; rows of a cell (column 0) are adjacent."""
+
+    def apart(b: pa.RecordBatch) -> list[np.ndarray]:
+        lists = b.column(b.num_columns - 1)
+        return [b.column(k).to_numpy() for k in range(b.num_columns - 1)] + [lists.value_lengths().to_numpy(), lists.flatten().to_numpy()]
+
+    held: list[np.ndarray] | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        now = apart(b)
+        if held is not None:
+            now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+        last = int(np.searchsorted(now[0], now[0][-1], side="left"))
+        value = int(now[-2][:last].sum())
+        held = [x[last:] for x in now[:-1]] + [now[-1][value:]]
+        if last:
+            yield [x[:last] for x in now[:-1]] + [now[-1][:value]]
+    if held is not None and len(held[0]):
+        yield held
+
+
+def deal(members: DataFrame, by: str, *columns: str) -> DataFrame:
+    """``(cell, columns)``: each pair of the rows with one ``by`` meets in a cell of at most two of its ``chunks``."""
+    dealt = members.withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks").cast("int") - 1)))
+    dealt = dealt.select(F.xxhash64(by, F.least("own", "other"), F.greatest("own", "other")).alias("cell"), *columns)
+    return dealt.repartition("cell").sortWithinPartitions("cell", "node")
+
+
 def similar_groups(docs: DataFrame, width: int = 5, least: float = LEAST) -> DataFrame:
     """``doc_id, component_id`` of every row: documents linked, directly or by others, at a similarity of ``least``.
 
-    The similarity is that of the sets of ``width``-word shingles as the differing bits of 512-bit fingerprints give it
-    (its error is about 0.03 at 0.8; links are made down to ``MARGIN`` below ``least``). Documents are compared where they
-    share one of their ``KEYS`` smallest shingle hashes, which all but about (1 - least)^KEYS of such pairs do. Equal
-    sets are one node; keys with many members are dealt out as pairs of chunks; a task returns one link a member.
+    The similarity is the exact Jaccard similarity of the sets of ``width``-word shingles. Documents are compared where they
+    share one of their ``KEYS`` smallest shingle hashes, which all but about (1 - least)^KEYS of such pairs do, first by
+    bits: 512-bit fingerprints with a radius that next to no such pair exceeds, or for few shingles 512 parities, which
+    exclude none. What that connects is read again and compared by its sets. Equal sets are one node; keys and groups with
+    many members are dealt out as pairs of chunks; a task returns one link a member.
     """
-    ddl = "doc_id bigint, same bigint, n bigint, keys array<bigint>, fp array<bigint>"
+    ddl = "doc_id bigint, same bigint, n bigint, keys array<bigint>, odd array<bigint>, wide array<bigint>"
     schema = arrow_of(ddl)
+    array = pa.list_(pa.int64())
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            same, n, keys, fps = [], [], [], []
+            same, n, keys, odd, wide = [], [], [], [], []
             for t in b.column(1):
                 h = shingle_set(t.as_py(), width)
                 same.append(xxhash.xxh64_intdigest(h.tobytes()) >> 1)
                 n.append(len(h))
                 keys.append(h[:KEYS].view(np.int64))
-                fps.append(wide_fingerprint(h).view(np.int64))
+                odd.append(odd_bits(h).view(np.int64) if len(h) <= SHORT else None)
+                wide.append(wide_fingerprint(h).view(np.int64) if len(h) > least * SHORT else None)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).cast(pa.int64()), pa.array(same, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(fps, pa.list_(pa.int64()))],
+                [b.column(0).cast(pa.int64()), pa.array(same, pa.int64()), pa.array(n, pa.int64()), *[pa.array(x, array) for x in (keys, odd, wide)]],
                 names=schema.names,
             )
 
     rows = cut(slim(docs, "doc_id", "text").mapInArrow(sketch, ddl), "sketches")
     low = F.lit(-(1 << 63))
-    nodes = rows.groupBy("same", "n").agg(F.coalesce(F.min("doc_id"), low).alias("node"), F.first("keys").alias("keys"), F.first("fp").alias("fp"))
+    nodes = rows.groupBy("same", "n").agg(F.coalesce(F.min("doc_id"), low).alias("node"), *[F.first(c).alias(c) for c in ("keys", "odd", "wide")])
     nodes = cut(nodes, "similar-nodes")
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    met = keyed.join(sizes, "key").join(nodes.select("node", "fp"), "node").withColumn("chunks", F.ceil(F.col("m") / CHUNK).cast("int"))
-    met = met.withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = met.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "node", "fp")
-    dealt = dealt.repartition("cell").sortWithinPartitions("cell", "node")
-    radius = most_bits(least - MARGIN)
-    edge_schema = arrow_of("a bigint, b bigint")
-
-    def one(cells: np.ndarray, ids: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-        new = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
-        end = np.repeat(np.append(new[1:], len(cells)), np.diff(np.append(new, len(cells))))
-        label = smallest_linked(len(cells), within(fps, end, radius))
-        moved = np.flatnonzero(label != np.arange(len(cells)))
-        return pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], schema=edge_schema)
+    met = keyed.join(sizes, "key").join(nodes.select("node", "n", "odd", "wide"), "node").withColumn("chunks", F.ceil(F.col("m") / CHUNK))
+    kinds = [F.when(F.col(c).isNotNull(), F.struct(F.lit(k).alias("kind"), F.col(c).alias("fp"))) for k, c in enumerate(("odd", "wide"))]
+    met = met.withColumn("as", F.explode(F.array_compact(F.array(*kinds))))
+    met = met.select(F.xxhash64("key", "as.kind").alias("place"), "chunks", "node", "n", F.col("as.kind").alias("kind"), F.col("as.fp").alias("fp"))
+    radius = (int(2 * SHORT * (1 - least) / (1 + least) + 1e-9), loose_bits(least))
+    edges = "a bigint, b bigint"
+    edge_schema = arrow_of(edges)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
+        for cells, ids, n, kind, _, fps in _runs(batches):
+            fps = fps.reshape(-1, WIDE).view(np.uint64)
+            for k in (0, 1):
+                on = kind == k
+                if not on.any():
+                    continue
+                c, i, m, f = cells[on], ids[on], n[on], np.ascontiguousarray(fps[on])
+                new = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
+                end = np.repeat(np.append(new[1:], len(c)), np.diff(np.append(new, len(c))))
+                label = smallest_linked(len(c), near_sizes(within(f, end, radius[k]), m, None if k else f, least))
+                moved = np.flatnonzero(label != np.arange(len(c)))
+                yield pa.RecordBatch.from_arrays([pa.array(i[moved]), pa.array(i[label[moved]])], schema=edge_schema)
+
+    loose = components(deal(met, "place", "node", "n", "kind", "fp").mapInArrow(compare, edges).distinct())
+    likely = nodes.select("same", "n", "node").join(loose, "node")
+    chunks = F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n") / WEIGHT))
+    likely = cut(likely.join(likely.groupBy("label").agg(chunks.alias("chunks")), "label"), "likely")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            now = [b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).flatten().to_numpy().reshape(-1, WIDE).view(np.uint64)]
-            if held is not None:
-                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-            last = int(np.searchsorted(now[0], now[0][-1], side="left"))
-            held = [x[last:] for x in now]
-            if last:
-                yield one(*[x[:last] for x in now])
-        if held is not None and len(held[0]):
-            yield one(*held)
-
-    label = components(dealt.mapInArrow(compare, "a bigint, b bigint").distinct())
+            found = [shingle_set(t.as_py(), width) for t in b.column(0)]
+            same = [xxhash.xxh64_intdigest(h.tobytes()) >> 1 for h in found]
+            columns = [pa.array(same, pa.int64()), pa.array(map(len, found), pa.int64()), pa.array([h.view(np.int64) for h in found], array)]
+            yield pa.RecordBatch.from_arrays(columns, names=["same", "n", "hashes"])
+
+    ids = likely.select(F.when(F.col("node") > low, F.col("node")).alias("__id")).distinct()
+    texts = slim(docs, "doc_id", "text").join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi").select("text")
+    whole = texts.mapInArrow(sets, "same bigint, n bigint, hashes array<bigint>").join(likely, ["same", "n"]).dropDuplicates(["same", "n"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cells, ids, size, values in _runs(batches):
+            at = np.append(np.flatnonzero(np.append(True, cells[1:] != cells[:-1])), len(cells))
+            start = np.append(0, np.cumsum(size))
+            label = np.concatenate([lo + linked_sets(values[start[lo] : start[hi]], size[lo:hi], least) for lo, hi in zip(at[:-1], at[1:], strict=True)])
+            moved = np.flatnonzero(label != np.arange(len(cells)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], schema=edge_schema)
+
+    label = components(deal(whole, "label", "node", "hashes").mapInArrow(verify, edges).distinct())
     named = nodes.select("same", "n", "node").join(label, "node", "left").select("same", "n", F.coalesce("label", "node").alias("component_id"))
     out = rows.select("doc_id", "same", "n").join(named, ["same", "n"])
     return out.select("doc_id", F.when(F.col("component_id") > low, F.col("component_id")).alias("component_id"))

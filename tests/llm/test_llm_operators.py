@@ -204,6 +204,47 @@ def test_similar_documents(spark, docs, none, monkeypatch):
     assert sorted(r.doc_id for r in simhash.keep_one(twice).collect()) == [1, 2, 2], "an id that stands for a group stays"
 
 
+def test_similarity_is_exact(spark, monkeypatch):
+    """Pairs of 4 to 520 shingles on either side of 0.8, of equal and of unequal sizes, in one chunk and in several."""
+    r = random.Random(8)
+    texts, want = [], []
+
+    def pair(n, lost, extra):
+        """n words shared; before them ``lost`` words of the first text only, behind them ``extra`` of the second."""
+        mid = [f"w{r.getrandbits(60):x}" for _ in range(n + 4)]
+        a = [f"a{r.getrandbits(60):x}" for _ in range(lost)] + mid
+        b = mid + [f"b{r.getrandbits(60):x}" for _ in range(extra)]
+        texts.extend([" ".join(a), " ".join(b)])
+        want.append(5 * n >= 4 * (n + lost + extra))
+
+    for n, lost, extra in [(4, 0, 1), (5, 0, 1), (6, 1, 0), (12, 0, 3), (12, 2, 1), (16, 2, 2), (64, 0, 16), (66, 9, 7), (64, 0, 17), (80, 10, 10), (160, 20, 20), (160, 0, 40), (416, 52, 52), (420, 60, 40)]:
+        for _ in range(8):
+            pair(n, lost, extra)
+    for n, lost, extra in [(3, 0, 1), (7, 1, 1), (12, 2, 2), (60, 10, 10), (75, 0, 25), (77, 11, 12), (150, 25, 25), (300, 0, 78), (300, 50, 40)]:
+        for _ in range(8):
+            pair(n, lost, extra)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for _ in range(2):
+        got = {x.doc_id: x.component_id for x in simhash.similar_groups(d).collect()}
+        assert [got[2 * k] == got[2 * k + 1] for k in range(len(want))] == want
+        assert all(got[k] // 2 == k // 2 for k in got)
+        monkeypatch.setattr(simhash, "CHUNK", 1)
+
+
+def test_linked_sets():
+    """Sets that only others connect; each comparison decided by brute force."""
+    r = np.random.default_rng(3)
+    sets = [np.sort(r.choice(60, 60 - int(k), replace=False)) for k in r.integers(0, 14, 40)] + [np.arange(100, 105), np.arange(100, 104)]
+    label = simhash.linked_sets(np.concatenate(sets), np.array([len(x) for x in sets]), 0.8)
+    want = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            x, y = set(sets[a].tolist()), set(sets[b].tolist())
+            if len(x & y) >= 0.8 * len(x | y):
+                want = [min(want[a], want[b]) if w in (want[a], want[b]) else w for w in want]
+    assert label.tolist() == want and label[-1] == len(sets) - 2
+
+
 # 2 mixing ----------------------------------------------------------------------------------------------------------
 
 
