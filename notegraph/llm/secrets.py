@@ -3,8 +3,11 @@
 Base spans, leftmost non-overlapping per kind (``assign``, ``access``, ``hex``), always stay. Besides them every long run of
 token characters near a sensitive word is a candidate. The candidate is compressed by zstandard primed with a raw
 dictionary: common identifiers, then the text around it. What that adds in bytes beyond an empty frame is what neither
-the surroundings nor the identifiers explain; a candidate with at least ``NOVEL`` bytes a character is reported as
-``novel``. Words, paths and repeated names cost a fraction of that.
+the surroundings nor the identifiers explain. A candidate is reported as ``novel`` if it, or a part of ``WINDOW``
+characters, adds at least the share ``NOVEL`` of what random text of its length over its alphabet (the smallest of
+``ALPHABETS`` that holds it) adds. Known words, paths and repeated names cost a fraction of that. Letters without digits are
+reported as well, but where they follow each other as in words (names and paths that nothing explains do), only if a
+sensitive word is directly said to be them (``passphrase: ...``, ``the token is ...``).
 
 One regular-expression pass (Arrow's, linear in the text) finds the rows worth reading; only those reach Python.
 
@@ -14,8 +17,12 @@ repeated rows are scanned each; extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
+import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,7 +34,12 @@ from pyspark.sql import functions as F
 from notegraph.llm.common import arrow_of, slim
 
 KINDS = ("assign", "access", "hex", "novel")
-NOVEL, LEAST, NEAR, AROUND = 0.9, 16, 40, 400
+NOVEL, LEAST, NEAR, AROUND, WINDOW = 0.9, 16, 40, 400, 64
+_UP, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+ALPHABETS = (
+    _DIGITS, _DIGITS + "abcdef", _DIGITS + "ABCDEF", _UP, _UP.lower(), _UP + "234567", _UP.lower() + "234567",
+    _UP + _DIGITS, _UP.lower() + _DIGITS, _UP + _UP.lower(), _UP + _UP.lower() + _DIGITS + "+/_=-",
+)
 
 
 def _either(word: str) -> str:
@@ -44,6 +56,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 SENSITIVE = re.compile("|".join(map(_either, ("secret", "token", "passw", "passphrase", "credential", "bearer", "api_key", "apikey", "private_key", "access_key", "client_id"))))
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
+#: A sensitive word that is directly said to be what follows.
+BOUND = re.compile(f"(?:{SENSITIVE.pattern})[A-Za-z_]*[\"']?\\s*(?:is|:|=>?)\\s*[\"'`]?$")
+#: Pairs of a letter that the letters' own shares stand for, and the bits a letter under which a run is like words.
+PAIR, WORDY = 8, 4.6
 WORTH = r"(?i)password|passwd|secret|token|api_?key|passw|passphrase|credential|bearer|private_key|access_key|client_id|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"
 IDENTIFIERS = b" ".join(
     b"""abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 authentication authorization configuration
@@ -62,14 +78,58 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found, key=lambda x: (x[0], x[2]))
 
 
+def _primed(known: bytes) -> zstandard.ZstdCompressor:
+    held = zstandard.ZstdCompressionDict(known, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    return zstandard.ZstdCompressor(level=19, dict_data=held, write_content_size=False, write_dict_id=False)
+
+
+def _added(cctx: zstandard.ZstdCompressor, data: bytes) -> int:
+    return len(cctx.compress(data)) - len(cctx.compress(b""))
+
+
+def _known(before: str, after: str) -> bytes:
+    return IDENTIFIERS + b"\n" + after.encode() + b"\n" + before.encode()
+
+
 def novelty(candidate: str, before: str, after: str) -> float:
     """Bytes a character that the candidate adds when its surroundings and common identifiers are known."""
-    known = IDENTIFIERS + b"\n" + after.encode() + b"\n" + before.encode()
-    cctx = zstandard.ZstdCompressor(
-        level=19, dict_data=zstandard.ZstdCompressionDict(known, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False
-    )
     data = candidate.encode()
-    return (len(cctx.compress(data)) - len(cctx.compress(b""))) / len(data)
+    return _added(_primed(_known(before, after)), data) / len(data)
+
+
+@functools.lru_cache(maxsize=4096)
+def random_cost(alphabet: int, n: int) -> float:
+    """The bytes that ``n`` random characters of an alphabet add when common identifiers are known: the least of fixed draws.
+
+    (Around some lengths zstandard codes only part of the draws by entropy, so a mean would exceed many.)
+    """
+    draw, cctx = random.Random(n), _primed(IDENTIFIERS)
+    return min(_added(cctx, "".join(draw.choices(ALPHABETS[alphabet], k=n)).encode()) for _ in range(16 if n <= 1024 else 2))
+
+
+def is_novel(candidate: str, before: str, after: str) -> bool:
+    """If the candidate or a window of it adds nearly what random text over its alphabet would."""
+    cctx = _primed(_known(before, after))
+    parts = [candidate]
+    if len(candidate) > WINDOW:
+        parts += [candidate[at : at + WINDOW] for at in range(0, len(candidate) - WINDOW // 2, WINDOW // 2)]
+    for part in parts:
+        alphabet = next(k for k, a in enumerate(ALPHABETS) if set(part) <= set(a))
+        if len(part) >= LEAST and _added(cctx, part.encode()) >= NOVEL * random_cost(alphabet, len(part)):
+            return True
+    return False
+
+
+def like_words(candidate: str, before: str, after: str) -> bool:
+    """If a run without digits has letters that follow each other as in the identifiers and its surroundings."""
+    if re.search(r"[0-9]", candidate):
+        return False
+    known = re.sub(r"[^a-z]+", " ", _known(before, after).decode("utf-8", "replace").lower())
+    pairs, firsts = Counter(zip(known, known[1:], strict=False)), Counter(known[:-1])
+    alone = {c: (firsts[c] + 1) / (len(known) + 27) for c in " " + _UP.lower()}
+    run = " " + re.sub(r"[^a-z]+", " ", candidate.lower())
+    bits = sum(-math.log2((pairs[a, b] + PAIR * alone[b]) / (firsts[a] + PAIR)) for a, b in zip(run, run[1:], strict=False))
+    return bits < WORDY * (len(run) - 1)
 
 
 def novel_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -82,9 +142,12 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
             if at <= last:
                 continue
             last = at
-            if any(b < end and at < e for b, e, _ in taken) or not (re.search(r"[0-9]", word) and re.search(r"[A-Za-z]", word)):
+            if any(b < end and at < e for b, e, _ in taken):
+                continue
+            before, after = text[max(0, at - AROUND) : at], text[end : end + AROUND]
+            if like_words(word, before, after) and not BOUND.search(before[-2 * NEAR :]):
                 continue
-            if novelty(word, text[max(0, at - AROUND) : at], text[end : end + AROUND]) >= NOVEL:
+            if is_novel(word, before, after):
                 found.append((at, end, 3))
     return found
 

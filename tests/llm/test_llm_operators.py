@@ -507,6 +507,25 @@ def test_novelty():
     assert not secrets.novel_spans(f"nothing near {key_}", [])
 
 
+def test_novelty_of_every_length_and_alphabet():
+    """Random text is reported whatever its alphabet and length; repeats, known words and their paths are not."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    alphabets = {"hex": "0123456789ABCDEF", "base32": upper + "234567", "base64": upper + upper.lower() + "0123456789+/", "letters": upper.lower(), "digits": "0123456789"}
+    for name, alphabet in alphabets.items():
+        for n in (16, 24, 40, 48, 64, 96, 128, 200, 300, 400):
+            draw = random.Random(n)
+            texts = [f"send the bearer  {''.join(draw.choices(alphabet, k=n))} now" for _ in range(30)]
+            hits = sum(secrets.joined(secrets.novel_spans(x, [])) == f"novel:17:{17 + n}" for x in texts)
+            assert hits >= 27, (name, n, hits)
+    for known in ("a" * 200, "0123456789" * 20, "configuration_directory_repository" * 8, "authentication/authorization", "application-development-environment", "00000000-0000-0000-0000-000000000000"):
+        assert not secrets.novel_spans(f"see the bearer  {known} now", []), known
+    for slug in ("internationalization", "this-is-a-long-slug-title", "/usr/local/share/config"):
+        assert not secrets.novel_spans(f"see the token in {slug} now", []), slug
+    assert secrets.joined(secrets.novel_spans("the passphrase is correct-horse-battery-staple", [])) == "novel:18:46"
+    inside = "configuration_directory_repository/" * 6 + "Zx81kLmQ92pVbT73nRwYs4aB0cD9eF8gH7iJ6kL5mN4oP3qR2sT1uVwXyZ5tG2bQ8w" + "/configuration_directory" * 6
+    assert secrets.novel_spans(f"see the bearer  {inside} now", [])
+
+
 # 3 personal data ---------------------------------------------------------------------------------------------------
 
 
