@@ -435,6 +435,20 @@ def test_ratio_tells_noise_from_prose(spark):
     assert all(got[k] for k, _ in good) and not any(got[k] for k, _ in noise)
 
 
+def test_labelled_junk_sets_the_threshold(spark):
+    """Junk that scores a little under prose (part of its words noised) is rejected, where labels say so."""
+    noised = lambda seed: " ".join(f"{w}%%%" if k % 3 == 0 else w for k, w in enumerate(prose(200, seed).split()))
+    good, junk = [(k, prose(200, 2000 + k)) for k in range(300)], [(1000 + k, noised(3000 + k)) for k in range(60)]
+    d = spark.createDataFrame(good + junk, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1) for k in range(200)] + [(1000 + k, 0) for k in range(30)], "doc_id long, quality int")
+    got = {r.doc_id: r.kept for r in quality.verdicts(d, labels).collect()}
+    assert sum(got[k] for k, _ in good) >= 298 and not any(got[k] for k, _ in junk)
+    rows_ = spark.createDataFrame([(True, 0.0 + k / 1000) for k in range(100)] + [(False, -0.02), (False, -0.3), (False, 0.05)], "good boolean, score double")
+    assert -0.02 < quality.least_score(rows_) < 0
+    assert -0.06 < quality.least_score(rows_.where("good")) < -0.04
+    assert quality.least_score(rows_.where("NOT good")) == float("-inf")
+
+
 # 1 toxicity --------------------------------------------------------------------------------------------------------
 
 
