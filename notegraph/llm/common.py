@@ -1,39 +1,19 @@
-"""Shared by the training-data operators: the scratch folder, column projection, word rules."""
+"""Shared by the training-data operators: column projection, word rules, Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from notegraph.session import cut, remove, shared_dir  # noqa: F401  (used by the operators)
+
 #: One run of characters other than space, tab, line feed, vertical tab, form feed and carriage return.
 #: ``bytes.split()`` splits at the same six bytes, so Python code uses that.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, which driver and executors share; a local folder only where the session has none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if not held.isDefined():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="notegraph-"))
-            held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = held.get()
-    return found.rstrip("/")
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: lineage ends, a lost executor loses nothing, reuse is a scan."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -56,10 +36,6 @@ def salt(of: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(of), F.lit(n)).cast("int")
 
 
-def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
-
-
 def arrow_of(ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
