@@ -1,25 +1,31 @@
 """Toxicity by a weighted lexicon matched with Aho-Corasick.
 
-Text is folded: lower case, look-alike letters of other scripts to Latin ones, digits and signs that stand before a letter
-to the letter they imitate. Lexicon entries are whole words (``idiot$``) or word beginnings (``lowei``). Their weights are
+Text is folded: compatibility forms and accents to plain letters, lower case, look-alike letters of other scripts to Latin
+ones, digits and signs that stand before a letter to the letter they imitate. Where such stand behind a letter only
+(``idio7``), a second folding takes them for letters as well, and the better reading of a word counts. Lexicon entries are
+whole words (``idiot$``) or word beginnings (``lowei``). Their weights are
 log odds learned from labelled rows: beginnings and words of toxic rows that are far commoner there than in the others
 (a bound on the chance of that, corrected for the number of candidates, decides), in the most specific form that loses no
 row. Phrases (a hit with the word before or after it) that only clean rows have are exceptions: such a hit does not count.
 The summed weights, and the sum per square root of length, go through a logistic curve fitted to the same rows.
 
 Rows whose crc32(doc_id) mod 5 is 0 are held out and never learned from. The fit uses at most ``SAMPLE`` labelled rows,
-chosen by hash of the id, so what reaches the driver and the tasks has a fixed size; every document is scored.
+chosen by hash of the id; nothing else is bounded. A feature must be in a 200th of the toxic training rows, so at most 200
+times the mean number of features of such a row reach the driver; phrases are those of hits in the sample. Every document is
+scored, whole. The fit is the same however the table is dealt out.
 
 Defined results: null and empty texts score as a text without hits; a null doc_id is not held out; labels of documents
 that are missing, and null labels, are ignored; repeated rows get equal scores; without both classes in the training rows
-the seed words alone score, on a fixed curve.
+the seed words alone score, on a fixed curve; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import dataclasses
+import heapq
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,36 +38,54 @@ from pyspark.sql import functions as F
 
 from notegraph.llm.common import arrow_of, cut, slim
 
-SAMPLE, CANDIDATES, ENTRIES, PHRASES = 30_000, 60_000, 2_000, 1_000
+SAMPLE = 30_000
+#: Smallest shingle hashes by which near copies among training rows are told.
+SKETCH = 32
 #: Common insults, used at this weight until labels say otherwise.
 SEED_WEIGHT = 2.0
 SEEDS = ("idiot", "moron", "stupid", "imbecile", "scum", "loser", "pathetic", "worthless", "disgusting", "retard", "bastard", "asshole", "bitch", "dumm", "idiota", "estúpido", "crétin", "salaud")
 LOOKALIKE = dict(zip("аеорсухіјѕԁһӏкмтвнαεοριυνκτ", "aeopcyxijsdhlkmtbhaeopiuvkt", strict=True))
-LOOKALIKE |= {chr(0xFF41 + k): chr(97 + k) for k in range(26)} | {chr(0xFF10 + k): str(k) for k in range(10)}
 FOLD = str.maketrans(LOOKALIKE)
 LEET = str.maketrans("013457@$!|", "oieastasil")
 IMITATES = re.compile(r"[013457@$!|]+(?=[^\W\d_])")
+#: Behind a letter; an exclamation mark there is one.
+TRAILS = re.compile(r"(?<=[^\W\d_])[013457@$|]+")
+MARKS = re.compile(r"[\u0300-\u036f]+")
 WORDS = re.compile(r"[^\W\d_]+")
 
 
 def fold(text: str) -> str:
+    if not text.isascii():
+        text = MARKS.sub("", unicodedata.normalize("NFKD", text))
     text = text.lower()
     if not text.isascii():
         text = text.translate(FOLD)
     return IMITATES.sub(lambda m: m[0].translate(LEET), text)
 
 
+def views(text: str) -> list[str]:
+    """The folded text, and if letters are followed by what imitates letters the reading with those, of the same length."""
+    folded = fold(text)
+    if TRAILS.search(folded) is None:
+        return [folded]
+    return [folded, TRAILS.sub(lambda m: m[0].translate(LEET), folded)]
+
+
 def features_of(folded: str) -> set[str]:
-    """Word beginnings of 4 to 8 letters, and whole words, marked with ``$``."""
+    """Word beginnings of 4 to 8 letters, and whole words of any length, marked with ``$``."""
     found = set()
     for w in set(WORDS.findall(folded)):
         n = len(w)
-        if 3 <= n <= 40:
+        if n >= 3:
             found.add(w + "$")
             found.update(w[:k] for k in range(4, min(n, 8) + 1))
     return found
 
 
+def is_letter(c: str) -> bool:
+    return WORDS.match(c) is not None
+
+
 @dataclasses.dataclass
 class Lexicon:
     weights: dict[str, float]
@@ -85,23 +109,24 @@ class Lexicon:
         best: dict[int, tuple[int, float]] = {}
         for last, (n, how) in automaton.iter(folded):
             at = last - n + 1
-            if at and folded[at - 1].isalpha():
+            if at and is_letter(folded[at - 1]):
                 continue
-            end = last + 1
-            while end < len(folded) and folded[end].isalpha():
-                end += 1
+            end = WORDS.match(folded, at).end()
             w = max((w for whole, w in how if not whole or end == last + 1), default=0.0)
             if w > best.get(at, (0, 0.0))[1]:
                 best[at] = (end, w)
         for at, (end, w) in best.items():
             yield at, end, w
 
-    def total(self, automaton, folded: str) -> float:
-        total = 0.0
-        for at, end, w in self.hits(automaton, folded):
-            if not self.exceptions or not any(p in self.exceptions for p in phrases(folded, at, end)):
-                total += w
-        return total
+    def total(self, automaton, texts: list[str]) -> float:
+        """The weights of the words of a text, given in its views; an exception phrase in any of them takes a hit out."""
+        best: dict[int, float] = {}
+        for folded in texts:
+            for at, end, w in self.hits(automaton, folded):
+                if self.exceptions and any(p in self.exceptions for p in phrases(folded, at, end)):
+                    w = 0.0
+                best[at] = max(best.get(at, 0.0), w)
+        return math.fsum(best.values())
 
     def score(self, total: float, length: int) -> float:
         a, b, c = self.curve
@@ -110,10 +135,16 @@ class Lexicon:
 
 
 def phrases(folded: str, at: int, end: int) -> tuple[str, str]:
-    before = WORDS.findall(folded[max(0, at - 40) : at])
-    after = WORDS.findall(folded[end : end + 40])
+    """The hit with the whole word before it and the whole word behind it, however far they are."""
+    stop = at
+    while stop and not is_letter(folded[stop - 1]):
+        stop -= 1
+    start = stop
+    while start and is_letter(folded[start - 1]):
+        start -= 1
+    after = WORDS.search(folded, end)
     word = folded[at:end]
-    return f"{before[-1] if before else ''} {word}", f"{word} {after[0] if after else ''}"
+    return f"{folded[start:stop]} {word}", f"{word} {after[0] if after else ''}"
 
 
 def held_out(doc_id: Column) -> Column:
@@ -123,36 +154,46 @@ def held_out(doc_id: Column) -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     """``(toxic, text)`` of at most ``most`` labelled rows that are not held out. Written once.
 
-    Of rows with the same label and the same smallest hash of their 3-word runs one is used: else a group of copies would
-    make every word of its text look toxic.
+    Near copies would make every word of their text look toxic. Rows with the same label and the same smallest hash of their
+    3-word runs are compared with the one of them with the smallest doc_id; those that share half of their ``SKETCH``
+    smallest hashes with it are left out, others (which have a common passage only) stay.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = cut(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most), "known")  # at most ``most`` pairs of numbers
-    rows = slim(docs, "doc_id", "text").join(F.broadcast(known), "doc_id").select("toxic", F.coalesce("text", F.lit("")).alias("text"))
-    schema = arrow_of("toxic int, text string, sketch bigint")
+    rows = slim(docs, "doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text"))
+    ddl = "doc_id bigint, toxic int, text string, sketch array<bigint>"
+    schema = arrow_of(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             low = []
-            for t in b.column(1).to_pylist():
+            for t in b.column(2).to_pylist():
                 words = t.encode().lower().split()
-                runs = zip(words, words[1:], words[2:]) if len(words) > 2 else [words]  # noqa: B905
-                low.append(min(xxhash.xxh64_intdigest(b" ".join(r)) >> 1 for r in runs))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(low, pa.int64())], schema=schema)
+                runs = set(zip(words, words[1:], words[2:])) if len(words) > 2 else {tuple(words)}  # noqa: B905
+                low.append(heapq.nsmallest(SKETCH, {xxhash.xxh64_intdigest(b" ".join(r)) >> 1 for r in runs}))
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *b.columns[1:], pa.array(low, pa.list_(pa.int64()))], schema=schema)
 
-    return cut(rows.mapInArrow(run, "toxic int, text string, sketch bigint").dropDuplicates(["toxic", "sketch"]).select("toxic", "text"), "training")
+    rows = cut(rows.mapInArrow(run, ddl), "sketched").withColumn("low", F.get("sketch", F.lit(0)))
+    # at most ``most`` documents (and repeats of their rows): the first of a smallest hash is one row
+    order = F.struct("doc_id", F.xxhash64("text").alias("h"), "sketch")
+    first = rows.groupBy("toxic", "low").agg(F.min(order).alias("f"))
+    met = rows.dropDuplicates(["toxic", "doc_id", "text"]).join(first, ["toxic", "low"])
+    itself = (F.col("doc_id") == F.col("f.doc_id")) & (F.xxhash64("text") == F.col("f.h"))
+    shared = F.size(F.array_intersect("sketch", "f.sketch"))
+    apart = 2 * shared < F.least(F.size("sketch"), F.size("f.sketch"))
+    return cut(met.where(itself | apart).select("toxic", "text"), "training")
 
 
 def _counts(rows: DataFrame, ddl: str, of, last) -> DataFrame:
-    """One Arrow pass with two Counters a task, filled by ``of()(folded, counter)``; then ``last`` of the sums by key."""
+    """One Arrow pass with two Counters a task, filled by ``of()(views, counter)``; then ``last`` of the sums by key."""
     schema = arrow_of(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pos, neg, add = Counter(), Counter(), of()
         for b in batches:
             for toxic, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                add(fold(t), pos if toxic else neg)
+                add(views(t), pos if toxic else neg)
         keys = list(pos | neg)
         yield pa.RecordBatch.from_arrays(
             [pa.array(keys, pa.string()), pa.array([pos[k] for k in keys], pa.int64()), pa.array([neg[k] for k in keys], pa.int64())], schema=schema
@@ -181,16 +222,16 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Lexicon:
     least = max(3, n_pos // 200)
 
     def all_features():
-        return lambda folded, c: c.update(features_of(folded))
+        return lambda texts, c: c.update(set().union(*map(features_of, texts)))
 
-    top = lambda df: df.where(F.col("pos") >= least).orderBy(F.desc("pos"), "key").limit(CANDIDATES)
+    top = lambda df: df.where(F.col("pos") >= least)
     candidates = {r[0] for r in _counts(rows.where("toxic = 1"), ddl, all_features, top).collect()} | set(seeds)
     held = rows.sparkSession.sparkContext.broadcast(candidates)
 
     def known_features():
-        return lambda folded, c: c.update(features_of(folded) & held.value)
+        return lambda texts, c: c.update(set().union(*map(features_of, texts)) & held.value)
 
-    found = _counts(rows, ddl, known_features, lambda df: df).collect()  # at most CANDIDATES + seeds
+    found = sorted(_counts(rows, ddl, known_features, lambda df: df).collect())  # the candidates' counts
     weights = dict(seeds)
     if found:
         keys = [r[0] for r in found]
@@ -215,7 +256,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Lexicon:
         for k, p, ng, o in zip(keys, pos, neg, odds, strict=True):
             if k in weights and p + ng >= 5:  # labels know this seed
                 weights[k] = float(max(0.0, o))
-        weights |= dict(sorted(kept.items(), key=lambda x: (-x[1], x[0]))[:ENTRIES])
+        weights |= kept
     weights = {k: min(w, 6.0) for k, w in weights.items() if w >= 0.5}
     lexicon = Lexicon(weights)
     shared = rows.sparkSession.sparkContext.broadcast(lexicon)
@@ -223,9 +264,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Lexicon:
     def contexts():
         lex, automaton = shared.value, shared.value.automaton()
         seen = lambda text: {p for at, end, _ in lex.hits(automaton, text) for p in phrases(text, at, end) if len(p.split()) == 2}
-        return lambda folded, c: c.update(seen(folded))
+        return lambda texts, c: c.update(set().union(*map(seen, texts)))
 
-    only_clean = lambda df: df.where("neg >= 3 AND pos = 0").orderBy(F.desc("neg"), "key").limit(PHRASES)
+    only_clean = lambda df: df.where("neg >= 3 AND pos = 0")
     lexicon = dataclasses.replace(lexicon, exceptions=frozenset(r[0] for r in _counts(rows, ddl, contexts, only_clean).collect()))
     return dataclasses.replace(lexicon, curve=_curve(rows, lexicon, lexicon.curve))
 
@@ -241,7 +282,7 @@ def _totals(rows: DataFrame, lexicon: Lexicon, ddl: str, make) -> DataFrame:
             for t in b.column(b.num_columns - 1):
                 text = t.as_py() or ""
                 lengths.append(len(text))
-                totals.append(shared.value.total(automaton, fold(text)))
+                totals.append(shared.value.total(automaton, views(text)))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *make(totals, lengths)], schema=schema)
 
     return rows.mapInArrow(run, ddl)
@@ -251,6 +292,7 @@ def _curve(rows: DataFrame, lexicon: Lexicon, start: tuple[float, float, float])
     """Logistic regression (Newton steps, a little ridge) on log(1 + total) and total by root of length."""
     make = lambda totals, lengths: [pa.array(totals, pa.float64()), pa.array(lengths, pa.int64())]
     got = _totals(rows, lexicon, "toxic int, total double, length bigint", make).toPandas()  # at most SAMPLE rows
+    got = got.sort_values(["toxic", "total", "length"])  # sums must not depend on the tasks' order
     y = got["toxic"].to_numpy(float)
     total, length = got["total"].to_numpy(), got["length"].to_numpy()
     x = np.stack([np.ones(len(y)), np.log1p(total), total / np.sqrt(length / 100 + 1)], 1)
