@@ -1,10 +1,11 @@
 """Secret scans: three base patterns, and dictionary-primed zstandard novelty for the rest.
 
-Base spans, leftmost non-overlapping per kind (``assign``, ``access``, ``hex``), always stay. Besides them every long run of
-token characters near a sensitive word is a candidate. The candidate is compressed by zstandard primed with a raw
+Base spans, leftmost non-overlapping per kind (``assign``, ``access``, ``hex``), always stay. Besides them every whole run of
+``LEAST`` or more token characters is a candidate if a sensitive word is in it or at most ``NEAR`` characters before or behind
+it (that is what sensitive context means here). The candidate is compressed by zstandard primed with a raw
 dictionary: common identifiers, then the text around it. What that adds in bytes beyond an empty frame is what neither
-the surroundings nor the identifiers explain. A candidate is reported as ``novel`` if it, or a part of ``WINDOW``
-characters, adds at least the share ``NOVEL`` of what random text of its length over its alphabet (the smallest of
+the surroundings nor the identifiers explain. A candidate is reported as ``novel`` if it, a part of ``WINDOW`` characters or
+a part between its separators adds at least the share ``NOVEL`` of what random text of its length over its alphabet (the smallest of
 ``ALPHABETS`` that holds it) adds. Known words, paths and repeated names cost a fraction of that. Letters without digits are
 reported as well, but where they follow each other as in words (names and paths that nothing explains do), only if a
 sensitive word is directly said to be them (``passphrase: ...``, ``the token is ...``).
@@ -12,13 +13,15 @@ sensitive word is directly said to be them (``passphrase: ...``, ``the token is
 One regular-expression pass (Arrow's, linear in the text) finds the rows worth reading; only those reach Python.
 
 Defined results: null and empty texts have no spans (the SHA-256 of nothing); texts of any length are read whole;
-repeated rows are scanned each; extra columns are ignored.
+repeated rows are scanned each; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -56,6 +59,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 SENSITIVE = re.compile("|".join(map(_either, ("secret", "token", "passw", "passphrase", "credential", "bearer", "api_key", "apikey", "private_key", "access_key", "client_id"))))
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
+SEPARATORS = re.compile(r"[+/_=-]+")
 #: A sensitive word that is directly said to be what follows.
 BOUND = re.compile(f"(?:{SENSITIVE.pattern})[A-Za-z_]*[\"']?\\s*(?:is|:|=>?)\\s*[\"'`]?$")
 #: Pairs of a letter that the letters' own shares stand for, and the bits a letter under which a run is like words.
@@ -110,7 +114,7 @@ def random_cost(alphabet: int, n: int) -> float:
 def is_novel(candidate: str, before: str, after: str) -> bool:
     """If the candidate or a window of it adds nearly what random text over its alphabet would."""
     cctx = _primed(_known(before, after))
-    parts = [candidate]
+    parts = [candidate, *(p for p in SEPARATORS.split(candidate) if LEAST <= len(p) < len(candidate))]
     if len(candidate) > WINDOW:
         parts += [candidate[at : at + WINDOW] for at in range(0, len(candidate) - WINDOW // 2, WINDOW // 2)]
     for part in parts:
@@ -133,22 +137,24 @@ def like_words(candidate: str, before: str, after: str) -> bool:
 
 
 def novel_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Candidates near a sensitive word, outside the base spans, that do not compress."""
-    found, last = [], -1
-    for s in SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, s.start(), min(len(text), s.end() + NEAR + LEAST)):
-            at, end = CANDIDATE.match(text, m.start()).span()  # the run may go on behind the window
-            word = text[at:end]
-            if at <= last:
-                continue
-            last = at
-            if any(b < end and at < e for b, e, _ in taken):
-                continue
-            before, after = text[max(0, at - AROUND) : at], text[end : end + AROUND]
-            if like_words(word, before, after) and not BOUND.search(before[-2 * NEAR :]):
-                continue
-            if is_novel(word, before, after):
-                found.append((at, end, 3))
+    """Candidates with a sensitive word in or near them, outside the base spans (sorted by start), that do not compress."""
+    words = [m.span() for m in SENSITIVE.finditer(text)]
+    begins, ends = [w[0] for w in words], [w[1] for w in words]
+    starts, reach = [b for b, _, _ in taken], list(itertools.accumulate((e for _, e, _ in taken), max))
+    found = []
+    for m in CANDIDATE.finditer(text) if words else ():
+        at, end = m.span()
+        k = bisect.bisect_left(ends, at - NEAR)
+        if k == len(words) or begins[k] > end + NEAR:
+            continue
+        k = bisect.bisect_left(starts, end)
+        if k and reach[k - 1] > at:
+            continue
+        before, after = text[max(0, at - AROUND) : at], text[end : end + AROUND]
+        if like_words(m[0], before, after) and not BOUND.search(before[-2 * NEAR :]):
+            continue
+        if is_novel(m[0], before, after):
+            found.append((at, end, 3))
     return found
 
 
