@@ -10,12 +10,14 @@
    powers of two, which need no padding. So there is no padding at all.
 
 One length may hold a third of all rows (copies): numbers and offsets are sums within (length, chunk) plus sums over
-chunk totals. Defined results: null text is empty, one id (the end id 0); every document has at least that id; repeated
-rows are packed each; an empty table gives no pieces; special strings in texts follow the library's default.
+chunk totals. Defined results: null text is empty, one id (the end id 0); every document has at least that id; texts of any
+length are packed whole; repeated rows are packed each; an empty table gives no pieces; extra columns are ignored; special
+strings in texts follow the library's default.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -27,8 +29,9 @@ from pyspark.sql import functions as F
 from notegraph.llm.common import arrow_of, cut, salt, slim
 from notegraph.llm.tokens import encoder, tokenizer_path
 
-WINDOW, END, CHUNKS = 1024, 0, 512
-#: Triples considered, those with the most mass first; all pairs are.
+WINDOW, END = 1024, 0
+#: Triples considered, those with the most mass first; all pairs are. Tails that no considered combination takes are packed end
+#: to end like all residuals, so nothing is lost by the bound.
 TRIPLES = 20_000
 
 
@@ -162,7 +165,8 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> Data
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``."""
     spark = docs.sparkSession
     tokens = tokenised(docs, path, window)
-    lens = tokens.select("row_id", "n", salt(F.col("row_id"), CHUNKS).alias("chunk"))
+    # about the root of the rows in a chunk, and as many chunks
+    lens = tokens.select("row_id", "n", salt(F.col("row_id"), max(1, math.isqrt(tokens.count()))).alias("chunk"))
     lens = lens.withColumn("full", F.floor(F.col("n") / window)).withColumn("tail", F.col("n") % window)
 
     # full windows: numbered document after document

@@ -6,7 +6,8 @@ merged, once each while a bounded memory holds them. The merge runs on the vocab
 strings encode alone as one token, merging by rank of the joined string and merging by the list of pairs are the same.
 
 Defined results: null text is empty: 0 bytes, 0 tokens; a special token's string inside a text is that special token, as
-is the library's default; texts of any length are counted whole; repeated rows are counted each.
+is the library's default; texts of any length are counted whole; repeated rows are counted each; an empty table gives no
+rows; extra columns are ignored.
 """
 
 from __future__ import annotations

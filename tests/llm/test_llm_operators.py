@@ -90,15 +90,37 @@ def test_exact_dedup_of_nothing_and_pipeline_form(spark, docs, none):
 def test_index_persists(spark, docs):
     index = dedup.DigestIndex(spark, buckets=4)
     first = dedup.digests(docs.where("doc_id < 8"))
-    index.append(first)
+    index.append(first, "a")
     n = index.table().count()
-    index.append(first)
+    index.append(first, "b")
     assert index.table().count() == n
-    again = dedup.DigestIndex(spark, index.name, index.path, 4)
-    again.append(dedup.digests(docs))
+    again = dedup.DigestIndex(spark, index.name, index.path)
+    again.append(dedup.digests(docs), "c")
     assert again.table().count() == len({lowered(r[1]) for r in rows()})
 
 
+def test_second_batch_against_the_index(spark):
+    """What the index holds is not kept again; a session that knows only the folder goes on with it."""
+    index = dedup.DigestIndex(spark)
+    table = lambda *r: spark.createDataFrame(list(r), "doc_id long, text string")
+    got = lambda t, i, **kw: {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in dedup.exact_groups(t, i, **kw).collect()}
+    assert got(table((1, "a"), (2, "B"), (3, "b")), index) == {1: (1, 1, True), 2: (3, 2, False), 3: (3, 2, True)}
+    spark.sql(f"DROP TABLE {index.name}")
+    later = dedup.DigestIndex(spark, "another_name_of_the_index", index.path)
+    assert later.buckets == index.buckets and later.table().count() == 2
+    assert got(table((10, "A"), (11, "b"), (12, "c"), (13, "c")), later) == {10: (1, 1, False), 11: (3, 1, False), 12: (13, 2, False), 13: (13, 2, True)}
+    assert got(table((9, "a"), (20, "a"), (1, "c")), later, supersede=True) == {9: (20, 2, False), 20: (20, 2, True), 1: (13, 1, False)}
+    later.drop()
+    assert not spark.catalog.tableExists(later.name) and dedup.DigestIndex(spark, "a_third_name", index.path).buckets is None
+
+
+def test_large_groups_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "SALT_ROWS", 10)
+    d = spark.createDataFrame([(k, "same" if k % 3 else f"t{k}") for k in range(600)], "doc_id long, text string").repartition(5)
+    got = dedup.op9(spark, d).collect()
+    assert len(got) == 600 and {(r.keep_id, r.group_size) for r in got if r.doc_id % 3} == {(599, 400)} and sum(r.kept for r in got) == 201
+
+
 # 7 SimHash ---------------------------------------------------------------------------------------------------------
 
 
@@ -280,9 +302,46 @@ def test_mix(spark, docs, none):
         taken[r.source] += r.taken
     for s, t in target.items():
         assert abs(taken[s] - t) <= max(2 * mixing.BLOCK, 0.02 * t)
-    again = mixing.op2(spark, docs).collect()
-    assert sorted(map(str, again)) == sorted(map(str, got))
+    assert any(0 < r.taken < 2 * r.size and r.taken != r.size for r in got)
+    again = mixing.op2(spark, docs.repartition(7)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got)), "however the rows are dealt"
     assert mixing.op2(spark, none).count() == 0
+    whole = mixing.mixed_documents(docs)
+    assert whole.columns == docs.columns and mixing.mixed_documents(none).count() == 0
+    assert Counter(r.doc_id for r in whole.collect() if not words(r.text)) == Counter(r[0] for r in rows() if not words(r[1])), "without words: once"
+
+
+def test_shards_are_multinomial_draws(spark):
+    """Counts by hashed uniforms, recounted by hand; scaled to the wanted totals; far from the same in every shard."""
+    targeted = spark.createDataFrame([("a", 0, 6000, 9000.0, 0.0, 0.6, 94, 235, 141), ("b", 1, 4000, 6000.0, 0.6, 1.0, 63, 235, 94)],
+        "source string, number int, source_size long, target double, low double, high double, blocks long, slots long, want long")
+    u = [r.u for r in spark.range(235).select(mixing.uniform(F.lit(20), F.col("id")).alias("u")).collect()]
+    want = Counter((int(x >= 0.6), k // 16) for k, x in enumerate(u))
+    assert {(r.number, r.shard): r.n for r in mixing.drawn_counts(targeted, 16).collect()} == dict(want)
+    assert len({want[0, k] for k in range(14)}) > 3 and abs(sum(v for (s, _), v in want.items() if s == 0) - 141) < 25
+    rows_ = mixing.shard_counts(targeted, 16).collect()
+    for s, n in ((0, 141), (1, 94)):
+        at = 0
+        for r in sorted((r for r in rows_ if r.number == s), key=lambda r: r.shard):
+            assert r.first == at and abs(r.n - want[s, r.shard] * n / sum(v for (t, _), v in want.items() if t == s)) <= 1
+            at += r.n
+        assert at == n
+    other = mixing.drawn_counts(targeted, 16, seed=21).collect()
+    assert {(r.number, r.shard): r.n for r in other} != dict(want)
+
+
+def test_whole_documents_of_the_mix_come_near_the_targets(spark):
+    d = spark.createDataFrame([(k, prose(20 + k % 40, k), f"s{k % 3}") for k in range(1500)], "doc_id long, text string, source string")
+    size = Counter()
+    for k in range(1500):
+        size[f"s{k % 3}"] += 20 + k % 40
+    got, n = Counter(), Counter()
+    for r in mixing.mixed_documents(d).collect():
+        got[r.source] += len(words(r.text))
+        n[r.doc_id] += 1
+    assert max(n.values()) <= 2
+    for s, t in brute_targets(size).items():
+        assert abs(got[s] / t - 1) < 0.05
 
 
 def test_every_block_is_drawn_evenly(spark):
@@ -454,6 +513,49 @@ def test_labelled_junk_sets_the_threshold(spark):
 
 def test_folding():
     assert toxicity.fold("1D10T ѕtuрid ｓｃｕｍ $cum! 108.51") == "idiot stupid scum scum! 108.51"
+    assert toxicity.fold("ídïot 𝐢𝐝𝐢𝐨𝐭") == "idiot idiot"
+    assert toxicity.views("idio7 moron5 a55 idiot!")[1] == "idiot morons ass idiot!" and len(toxicity.views("no digits!")) == 1
+
+
+def naive_total(lex, text):
+    """Every entry tried at every word of every view; the best counts, an exception takes it out."""
+    best = {}
+    for t in toxicity.views(text):
+        found = list(toxicity.WORDS.finditer(t))
+        for k, m in enumerate(found):
+            w = max([v for e, v in lex.weights.items() if (e[:-1] == m[0] if e.endswith("$") else m[0].startswith(e))], default=0.0)
+            near = (f"{found[k - 1][0] if k else ''} {m[0]}", f"{m[0]} {found[k + 1][0] if k + 1 < len(found) else ''}")
+            if any(p in lex.exceptions for p in near):
+                w = 0.0
+            best[m.start()] = max(best.get(m.start(), 0.0), w)
+    return sum(best.values())
+
+
+def test_matcher_equals_naive_search():
+    r = random.Random(6)
+    lex = toxicity.Lexicon({w + "$" * (k % 2): 1.0 + k / 10 for k, w in enumerate(VOCAB[:60])}, frozenset(f"{r.choice(VOCAB)} {w}" for w in VOCAB[:40]) | {f"{w} {'y' * 60}" for w in VOCAB[:5]})
+    a = lex.automaton()
+    for k in range(200):
+        t = " ".join(r.choice(VOCAB) + r.choice(["", "", "5", "!", "x", "0ne"]) for _ in range(40)) + f" {VOCAB[k % 5]} {' ' * 50}{'y' * 60}"
+        assert lex.total(a, toxicity.views(t)) == pytest.approx(naive_total(lex, t))
+
+
+def test_toxicity_does_not_depend_on_partitions(spark, sf):
+    d, lab = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = [sorted(map(tuple, toxicity.op1(spark, d.repartition(n), lab.repartition(n)).collect())) for n in (3, 7)]
+    assert got[0] == got[1]
+
+
+def test_near_copies_train_once_and_common_passages_do_not(spark):
+    """A group of near copies is one training row; rows that only share a passage stay apart."""
+    base, passage = prose(120, 50).split(), prose(12, 51)
+    near = [(k, " ".join([*base[:k], "changed", *base[k + 1 :]])) for k in range(30, 60)]
+    apart = [(100 + k, f"{passage} {prose(120, 600 + k)}") for k in range(30)]
+    d = spark.createDataFrame(near + apart, "doc_id long, text string")
+    lab = spark.createDataFrame([(k, 1) for k, _ in near + apart], "doc_id long, toxic int")
+    free = {k for k, _ in near + apart if zlib.crc32(str(k).encode()) % 5}
+    n = toxicity.training_rows(d, lab).count()
+    assert 1 + len([k for k in free if k >= 100]) <= n <= 4 + len([k for k in free if k >= 100])
 
 
 def test_toxicity(spark, none):
@@ -487,9 +589,9 @@ def test_toxicity(spark, none):
 def test_exceptions_and_boundaries():
     lex = toxicity.Lexicon({"clown$": 3.0, "lowe": 2.0}, frozenset({"clown fish"}))
     a = lex.automaton()
-    assert lex.total(a, "a clown fish swims") == 0
-    assert lex.total(a, "a clown sings, clowns, uclown") == 3
-    assert lex.total(a, "loweish slowest") == 2
+    assert lex.total(a, ["a clown fish swims"]) == 0
+    assert lex.total(a, ["a clown sings, clowns, uclown"]) == 3
+    assert lex.total(a, ["loweish slowest"]) == 2
 
 
 # 10 secrets --------------------------------------------------------------------------------------------------------
@@ -519,6 +621,28 @@ def test_novelty():
     assert secrets.novelty(known, "configuration_directory_repository1 ", "") < 0.3 < secrets.novelty(key_, "aws bearer ", "")
     assert not secrets.novel_spans(f"see {known} the token {known}", [])
     assert not secrets.novel_spans(f"nothing near {key_}", [])
+    show = lambda t: secrets.joined(secrets.novel_spans(t, []))
+    assert show(f"{key_} is the bearer") == "novel:0:22", "before its word"
+    assert show(f"set my_secret_{key_} here") == f"novel:4:{4 + len('my_secret_' + key_)}", "whole, the word being part of it"
+    assert show(f"{key_} {'far ' * 20} token") == "" and show(f"token {'far ' * 20} {key_}") == ""
+    assert secrets.novel_spans(f"bearer {key_}", [(3, 9, 0)]) == [], "base spans are not reported twice"
+
+
+def test_planted_keys_are_found_by_novelty(spark, monkeypatch):
+    """Keys before and behind a word in whole documents; without the compression test none is reported."""
+    r = random.Random(11)
+    draw = lambda: "".join(r.choices("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789", k=32))
+    planted = [(k, f"{prose(40, k)} the bearer {draw()} {prose(40, k + 500)}" if k % 2 else f"{prose(40, k)} {draw()} is our credential {prose(40, k + 500)}") for k in range(60)]
+    clean = [(1000 + k, f"{prose(60, k)} the bearer of the token {prose(60, k + 700)}") for k in range(60)]
+    d = spark.createDataFrame(planted + clean, "doc_id long, text string")
+    got = {x.doc_id: (x.n_novel, x.spans) for x in secrets.op10(spark, d).collect()}
+    text = dict(planted)
+    assert sum(got[k][0] for k in text) >= 58 and not any(got[k][0] for k, _ in clean)
+    for k, t in planted:
+        at = re.search(r"[A-Za-z0-9]{32}", t)
+        assert got[k][1] in ("", f"novel:{at.start()}:{at.end()}")
+    monkeypatch.setattr(secrets, "is_novel", lambda *_: False)
+    assert not any(secrets.novel_spans(t, []) for _, t in planted)
 
 
 def test_novelty_of_every_length_and_alphabet():
