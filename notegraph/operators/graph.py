@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from notegraph.session import cut
+
 DOC, SEG, TAG = "context_block:document", "data_block", "context_block:tag"
 
 
@@ -15,21 +17,27 @@ def links_of(links: DataFrame, ids: DataFrame, direction: str = "from", kind: st
     return out.join(ids.select("id"), end == ids["id"], "left_semi")
 
 
-def related(blocks: DataFrame, links: DataFrame, ids: DataFrame, limit: int = 20) -> DataFrame:
-    """Neighbours both ways with link kind and direction, at most ``limit`` per block and direction."""
+def related(blocks: DataFrame, links: DataFrame, ids: DataFrame, limit: int = 20, kind: str | None = None, direction: str = "both") -> DataFrame:
+    """Neighbours with link kind and direction, at most ``limit`` per block and direction.
+
+    ``kind``: only links of it. ``direction``: outgoing, incoming or both.
+    """
+    links = links if kind is None else links.where(F.col("kind") == kind)
     start = ids.select(F.col("id").alias("start_id"))
     out = links.join(start, links.from_id == start.start_id).select("start_id", F.col("to_id").alias("id"), F.col("kind").alias("link_kind"), F.lit("outgoing").alias("direction"))
     back = links.join(start, links.to_id == start.start_id).select("start_id", F.col("from_id").alias("id"), F.col("kind").alias("link_kind"), F.lit("incoming").alias("direction"))
-    both = out.unionByName(back)
+    both = {"outgoing": out, "incoming": back}.get(direction) if direction != "both" else out.unionByName(back)
+    if both is None:
+        raise ValueError(f"no direction {direction}")
     rank = Window.partitionBy("start_id", "direction").orderBy("link_kind", "id")
     both = both.withColumn("n", F.row_number().over(rank)).where(F.col("n") <= limit).drop("n")
     return both.join(blocks.select("id", "kind", "title"), "id").select("start_id", "id", "kind", "title", "link_kind", "direction")
 
 
-def traverse(links: DataFrame, starts: DataFrame, max_hops: int = 2, kinds: list[str] | None = None, cut=None) -> DataFrame:
+def traverse(links: DataFrame, starts: DataFrame, max_hops: int = 2, kinds: list[str] | None = None) -> DataFrame:
     """``start_id, id, depth``: breadth first over undirected links from many starts at once, least depth first.
 
-    ``cut`` (a callable) may write each frontier, so that long walks keep a short lineage.
+    Each frontier is written, so that a hop reads the one before and never computes it again.
     """
     edges = links if kinds is None else links.where(F.col("kind").isin(kinds))
     edges = edges.select(F.col("from_id").alias("a"), F.col("to_id").alias("b"))
@@ -39,8 +47,7 @@ def traverse(links: DataFrame, starts: DataFrame, max_hops: int = 2, kinds: list
     for hop in range(1, max_hops + 1):
         step = front.join(edges, front.id == edges.a).select("start_id", F.col("b").alias("id")).distinct()
         front = step.join(seen.select("start_id", "id"), ["start_id", "id"], "left_anti").withColumn("depth", F.lit(hop))
-        if cut is not None:
-            front = cut(front)
+        front = cut(front, "frontier")
         seen = seen.unionByName(front)
     return seen
 
@@ -48,32 +55,40 @@ def traverse(links: DataFrame, starts: DataFrame, max_hops: int = 2, kinds: list
 def hub_scores(blocks: DataFrame, links: DataFrame, weights: tuple[float, float, float] = (0.5, 0.3, 0.2), limit: int | None = None) -> DataFrame:
     """Documents by 0.5 ln(1+in) + 0.3 ln(1+out) + 0.2 ln(1+segments).
 
-    Out links are those of the document's segments; one pass over links per direction, combined map-side.
+    In: all links to the document but ``contains``; out: all links of the document itself. One pass over links per direction,
+    combined map-side.
     """
     docs = blocks.where(F.col("kind") == DOC).select("id", "title")
-    into = links.groupBy(F.col("to_id").alias("id")).agg(
-        F.count_if(F.col("kind") == "links_to").alias("links_in"), F.count_if(F.col("kind") == "contains").alias("segments")
-    )
-    out = links.groupBy(F.col("from_id").alias("id")).agg(F.count_if(F.col("kind") == "links_to").alias("own_out"))
-    held = links.where("kind = 'contains'").select(F.col("from_id").alias("seg"), F.col("to_id").alias("id"))
-    via = held.join(out.withColumnRenamed("id", "seg"), "seg").groupBy("id").agg(F.sum("own_out").alias("links_out"))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    out = docs.join(into, "id", "left").join(via, "id", "left").select("id", "title", zero("links_in"), zero("links_out"), zero("segments"))
+    held = F.col("kind") == "contains"
+    into = links.groupBy(F.col("to_id").alias("id")).agg(F.count_if(~held).alias("links_in"), F.count_if(held).alias("segments"))
+    out = links.groupBy(F.col("from_id").alias("id")).agg(F.count("*").alias("links_out"))
+    out = _counted(docs.join(into, "id", "left").join(out, "id", "left")).select("id", "title", "links_in", "links_out", "segments")
     a, b, c = weights
     score = a * F.log1p(F.col("links_in")) + b * F.log1p(F.col("links_out")) + c * F.log1p(F.col("segments"))
     out = out.withColumn("score", F.round(score, 6))
     return out if limit is None else out.orderBy(F.desc("score"), "id").limit(limit)
 
 
-def tag_details(blocks: DataFrame, links: DataFrame) -> DataFrame:
-    """Per tag: its segments, newest segment time, and a score."""
+def _counted(rows: DataFrame) -> DataFrame:
+    return rows.na.fill(0, ["links_in", "links_out", "segments"])
+
+
+def tag_details(blocks: DataFrame, links: DataFrame, weights: tuple[float, float, float] = (0.5, 0.3, 0.2), limit: int | None = None) -> DataFrame:
+    """Tags by 0.5 ln(1+in+segments) + 0.3 ln(1+out) + 0.2 ln(1+segments), with the newest time of their segments.
+
+    Segments: links of the kind ``groups`` to the tag; in: all other links to it; out: its own links.
+    """
     tags = blocks.where(F.col("kind") == TAG).select("id", "title")
-    times = blocks.where(F.col("kind") == SEG).select(F.col("id").alias("from_id"), "block_time")
-    per = links.where("kind = 'groups'").join(times, "from_id").groupBy(F.col("to_id").alias("id")).agg(F.count("*").alias("segments"), F.max("block_time").alias("last_active"))
-    other = links.where("kind <> 'groups'").groupBy(F.col("to_id").alias("id")).agg(F.count("*").alias("links_in"))
-    out = tags.join(per, "id", "left").join(other, "id", "left")
-    out = out.withColumn("segments", F.coalesce("segments", F.lit(0))).withColumn("links_in", F.coalesce("links_in", F.lit(0)))
-    return out.withColumn("score", F.round(F.log1p("segments") + 0.5 * F.log1p("links_in"), 6)).select("id", "title", "segments", "links_in", "last_active", "score")
+    grouped = F.col("kind") == "groups"
+    into = links.groupBy(F.col("to_id").alias("id")).agg(F.count_if(grouped).alias("segments"), F.count_if(~grouped).alias("links_in"))
+    out = links.groupBy(F.col("from_id").alias("id")).agg(F.count("*").alias("links_out"))
+    times = blocks.where("block_time IS NOT NULL").select(F.col("id").alias("from_id"), "block_time")
+    newest = links.where(grouped).join(times, "from_id").groupBy(F.col("to_id").alias("id")).agg(F.max("block_time").alias("last_active"))
+    rows = _counted(tags.join(into, "id", "left").join(out, "id", "left")).join(newest, "id", "left")
+    a, b, c = weights
+    score = a * F.log1p(F.col("links_in") + F.col("segments")) + b * F.log1p("links_out") + c * F.log1p("segments")
+    rows = rows.withColumn("score", F.round(score, 6)).select("id", "title", "segments", "links_in", "links_out", "last_active", "score")
+    return rows if limit is None else rows.orderBy(F.desc("score"), "id").limit(limit)
 
 
 def cooccurring_tags(blocks: DataFrame, links: DataFrame, limit: int | None = 10) -> DataFrame:

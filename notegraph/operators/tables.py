@@ -19,6 +19,18 @@ def delete_cascade(blocks: DataFrame, links: DataFrame, gone: DataFrame) -> tupl
     return kept, left.join(gone, left.to_id == gone.id, "left_anti")
 
 
+def delete_where(blocks: DataFrame, links: DataFrame, source_path: str | None = None, source: str | None = None, pass_id: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Delete, with their links, the blocks of a file, of a source or of a cluster pass (column ``pass_id``); all that is given must hold."""
+    wanted = {"source_path": source_path, "source": source, "pass_id": pass_id}
+    hit = [F.col(c) == v for c, v in wanted.items() if v is not None]
+    if not hit:
+        raise ValueError("nothing says what to delete")
+    where = hit[0]
+    for h in hit[1:]:
+        where = where & h
+    return delete_cascade(blocks, links, blocks.where(where).select("id").distinct())
+
+
 def merge_map(rows: DataFrame, updates: DataFrame, key: str, column: str) -> DataFrame:
     """Shallow merge of a MAP column: keys of ``updates(key, column)`` win."""
     u = updates.select(key, F.col(column).alias("__u"))

@@ -9,15 +9,17 @@ from notegraph.operators.text import stem, strip
 
 
 def slug(text: Column, most: int = 50) -> Column:
-    kept = F.regexp_replace(text, r"(?U)[^\w\s-]", "")
-    return F.substring(F.lower(F.regexp_replace(F.regexp_replace(kept, r"(?U)[\s_]+", "-"), r"\A-+|-+\z", "")), 1, most)
+    """Words in lower case, joined by dashes, without signs: part of a file name."""
+    words = F.split(F.lower(text), r"(?U)[\s_]+")
+    words = F.filter(F.transform(words, lambda w: F.regexp_replace(w, r"(?U)[^\w-]", "")), lambda w: w != "")
+    return F.substring(F.btrim(F.array_join(words, "-"), F.lit("-")), 1, most)
 
 
 def task_title(instructions: Column, content: Column) -> Column:
     """The first instruction if it says something, else the content's first line."""
-    first = F.get(instructions, 0)
-    line = F.substring(strip(F.substring_index(strip(F.coalesce(content, F.lit(""))), "\n", 1)), 1, 80)
-    return F.when(F.char_length(first) > 5, F.substring(first, 1, 80)).when(line != "", line).otherwise("untitled task")
+    said = F.get(F.filter(F.slice(instructions, 1, 1), lambda x: F.char_length(x) > 5), F.lit(0))
+    line = F.nullif(strip(F.regexp_extract(content, r"(?U)\A\s*(\S[^\n]*)", 1)), F.lit(""))
+    return F.substring(F.coalesce(said, line, F.lit("untitled task")), 1, 80)
 
 
 def dispatch(segments: DataFrame) -> DataFrame:

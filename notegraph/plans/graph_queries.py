@@ -12,6 +12,8 @@ from notegraph.operators import tables as T
 from notegraph.plans.views import blocks, graph_sql, links, path_of, table
 
 AS_OF = "1998-08-02"
+#: Four weeks behind the last orders: some tags are older, some are not.
+LATER = "1998-08-30"
 
 
 def _b(spark: SparkSession, sf: str) -> DataFrame:
@@ -26,14 +28,6 @@ def _negative(spark: SparkSession, sf: str) -> DataFrame:
 NEGATIVE = "neg AS (SELECT substr(sha256('doc:customers/' || c_custkey || '.md'), 1, 16) AS id FROM customer WHERE c_acctbal < 0)"
 
 
-def _top_docs(spark: SparkSession, sf: str) -> DataFrame:
-    richest = table(spark, sf, "customer").orderBy(F.desc("c_acctbal"), "c_custkey").limit(20)
-    return richest.select(doc_id(path_of(F.col("c_custkey"))).alias("id"))
-
-
-TOP_DOCS = "top AS (SELECT substr(sha256('doc:customers/' || c_custkey || '.md'), 1, 16) AS id FROM (SELECT c_custkey FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 20))"
-
-
 def _wanted(spark: SparkSession, sf: str) -> DataFrame:
     ev = table(spark, sf, "events")
     return ev.select(F.col("event_id").alias("pos"), make_id(F.lit("seg"), F.col("event_id").cast("string")).alias("id"))
@@ -123,16 +117,16 @@ G_ = graph_sql
 QUERIES = {
     "hub_scores": (
         lambda s, d: G.hub_scores(blocks(s, d), links(s, d)),
-        G_("""|with| SELECT b.id, b.title, coalesce(i.links_in, 0) AS links_in, coalesce(o.links_out, 0) AS links_out, coalesce(i.segments, 0) AS segments,
-          round(0.5 * ln(1 + coalesce(i.links_in, 0)) + 0.3 * ln(1 + coalesce(o.links_out, 0)) + 0.2 * ln(1 + coalesce(i.segments, 0)), 6) AS score
-        FROM blocks b LEFT JOIN (SELECT to_id, count(*) FILTER (kind = 'links_to') AS links_in, count(*) FILTER (kind = 'contains') AS segments FROM links GROUP BY 1) i ON b.id = i.to_id
-        LEFT JOIN (SELECT c.to_id, count(*) AS links_out FROM links c JOIN links l ON c.from_id = l.from_id AND l.kind = 'links_to' WHERE c.kind = 'contains' GROUP BY 1) o ON b.id = o.to_id
-        WHERE b.kind = 'context_block:document'""".replace("|with|", "|with|", 1)),
+        G_("""|with| SELECT id, title, links_in, links_out, segments, round(0.5 * ln(1 + links_in) + 0.3 * ln(1 + links_out) + 0.2 * ln(1 + segments), 6) AS score FROM
+        (SELECT b.id, b.title, (SELECT count(*) FROM links l WHERE l.to_id = b.id AND l.kind <> 'contains') AS links_in, (SELECT count(*) FROM links l WHERE l.from_id = b.id) AS links_out,
+          (SELECT count(*) FROM links l WHERE l.to_id = b.id AND l.kind = 'contains') AS segments FROM blocks b WHERE b.kind = 'context_block:document')"""),
     ),
     "tag_details": (
         lambda s, d: G.tag_details(blocks(s, d), links(s, d)),
-        G_("""|with| SELECT t.id, t.title, count(l.from_id) AS segments, CAST(0 AS BIGINT) AS links_in, max(b.block_time) AS last_active, round(ln(1 + count(l.from_id)), 6) AS score
-        FROM blocks t LEFT JOIN links l ON l.to_id = t.id AND l.kind = 'groups' LEFT JOIN blocks b ON b.id = l.from_id WHERE t.kind = 'context_block:tag' GROUP BY 1, 2"""),
+        G_("""|with| SELECT id, title, segments, links_in, links_out, last_active, round(0.5 * ln(1 + links_in + segments) + 0.3 * ln(1 + links_out) + 0.2 * ln(1 + segments), 6) AS score FROM
+        (SELECT t.id, t.title, (SELECT count(*) FROM links l WHERE l.to_id = t.id AND l.kind = 'groups') AS segments, (SELECT count(*) FROM links l WHERE l.to_id = t.id AND l.kind <> 'groups') AS links_in,
+          (SELECT count(*) FROM links l WHERE l.from_id = t.id) AS links_out, (SELECT max(e.block_time) FROM blocks e JOIN links l ON l.from_id = e.id WHERE l.to_id = t.id AND l.kind = 'groups') AS last_active
+          FROM blocks t WHERE t.kind = 'context_block:tag')"""),
     ),
     "cooccurring_tags": (
         lambda s, d: G.cooccurring_tags(blocks(s, d), links(s, d), 10),
@@ -145,9 +139,9 @@ QUERIES = {
         G_("""|with| SELECT id, title FROM blocks b WHERE kind = 'data_block' AND NOT EXISTS (SELECT 1 FROM links WHERE kind = 'groups' AND (from_id = b.id OR to_id = b.id))"""),
     ),
     "stale_tags": (
-        lambda s, d: G.stale_tags(blocks(s, d), links(s, d), F.lit(AS_OF).cast("date"), 4),
+        lambda s, d: G.stale_tags(blocks(s, d), links(s, d), F.lit(LATER).cast("date"), 4),
         G_(f"""|with| SELECT t.id, t.title, count(*) AS segments, max(b.block_time) AS last_active FROM blocks t JOIN links l ON l.to_id = t.id AND l.kind = 'groups' JOIN blocks b ON b.id = l.from_id
-        WHERE t.kind = 'context_block:tag' GROUP BY 1, 2 HAVING max(b.block_time) < strftime(DATE '{AS_OF}' - INTERVAL 28 DAY, '%Y-%m-%d')"""),
+        WHERE t.kind = 'context_block:tag' GROUP BY 1, 2 HAVING max(b.block_time) < strftime(DATE '{LATER}' - INTERVAL 28 DAY, '%Y-%m-%d')"""),
     ),
     "stats": (
         lambda s, d: G.stats(blocks(s, d), links(s, d), _embedded(s, d)),
@@ -165,11 +159,20 @@ QUERIES = {
         ranked AS (SELECT *, row_number() OVER (PARTITION BY start_id, direction ORDER BY link_kind, id) AS n FROM both_ways)
         |with| SELECT start_id, r.id, b.kind, b.title, link_kind, direction FROM ranked r JOIN blocks b ON b.id = r.id WHERE n <= 5"""),
     ),
+    "related_filtered": (
+        lambda s, d: G.related(blocks(s, d), links(s, d), _negative(s, d), 3, "links_to", "incoming"),
+        G_(f"""{NEGATIVE}, r AS (SELECT to_id AS start_id, from_id AS id, kind AS link_kind, row_number() OVER (PARTITION BY to_id ORDER BY kind, from_id) AS n FROM links WHERE kind = 'links_to' AND to_id IN (FROM neg))
+        |with| SELECT start_id, r.id, b.kind, b.title, link_kind, 'incoming' AS direction FROM r JOIN blocks b ON b.id = r.id WHERE n <= 3"""),
+    ),
+    "delete_by_source": (
+        lambda s, d: T.delete_where(blocks(s, d), links(s, d), source="1-URGENT")[1],
+        G_("""gone AS (SELECT id FROM blocks WHERE source = '1-URGENT') |with| SELECT * FROM links WHERE from_id NOT IN (FROM gone) AND to_id NOT IN (FROM gone)"""),
+    ),
     "traverse": (
-        lambda s, d: G.traverse(links(s, d), _top_docs(s, d), 2, ["contains", "links_to"]),
-        G_(f"""{TOP_DOCS}, e AS (SELECT from_id AS a, to_id AS b FROM links WHERE kind <> 'groups' UNION SELECT to_id, from_id FROM links WHERE kind <> 'groups'),
-        h1 AS (SELECT DISTINCT t.id AS s, e.b AS id FROM top t JOIN e ON e.a = t.id), h2 AS (SELECT DISTINCT s, e.b AS id FROM h1 JOIN e ON e.a = h1.id)
-        |with| SELECT start_id, id, CAST(min(depth) AS INTEGER) AS depth FROM (SELECT id AS start_id, id, 0 AS depth FROM top UNION ALL SELECT s, id, 1 FROM h1 UNION ALL SELECT s, id, 2 FROM h2) GROUP BY 1, 2"""),
+        lambda s, d: G.traverse(links(s, d), _negative(s, d), 2, ["contains", "links_to"]),
+        G_(f"""{NEGATIVE}, e AS (SELECT from_id AS a, to_id AS b FROM links WHERE kind IN ('contains', 'links_to') UNION SELECT to_id, from_id FROM links WHERE kind IN ('contains', 'links_to')),
+        h1 AS (SELECT DISTINCT t.id AS s, e.b AS id FROM neg t JOIN e ON e.a = t.id), h2 AS (SELECT DISTINCT s, e.b AS id FROM h1 JOIN e ON e.a = h1.id)
+        |with| SELECT start_id, id, CAST(min(depth) AS INTEGER) AS depth FROM (SELECT id AS start_id, id, 0 AS depth FROM neg UNION ALL SELECT s, id, 1 FROM h1 UNION ALL SELECT s, id, 2 FROM h2) GROUP BY 1, 2"""),
     ),
     "hub_members": (
         lambda s, d: G.hub_members(links(s, d), _negative(s, d)),
@@ -193,9 +196,10 @@ QUERIES = {
     ),
     "note_view": (
         lambda s, d: G.note_view(blocks(s, d), links(s, d)),
-        G_("""|with| SELECT b.id, b.title, coalesce(h.segments, 0) AS segments, h.newest, coalesce(i.n, 0) AS incoming, CAST(0 AS BIGINT) AS outgoing FROM blocks b
+        G_("""|with| SELECT b.id, b.title, coalesce(h.segments, 0) AS segments, h.newest, coalesce(i.n, 0) AS incoming, coalesce(o.n, 0) AS outgoing FROM blocks b
         LEFT JOIN (SELECT l.to_id, count(*) AS segments, max(s.block_time) AS newest FROM links l JOIN blocks s ON s.id = l.from_id WHERE l.kind = 'contains' GROUP BY 1) h ON h.to_id = b.id
-        LEFT JOIN (SELECT to_id, count(*) AS n FROM links GROUP BY 1) i ON i.to_id = b.id WHERE b.kind = 'context_block:document'"""),
+        LEFT JOIN (SELECT to_id, count(*) AS n FROM links GROUP BY 1) i ON i.to_id = b.id
+        LEFT JOIN (SELECT from_id, count(*) AS n FROM links GROUP BY 1) o ON o.from_id = b.id WHERE b.kind = 'context_block:document'"""),
     ),
     "valid_links": (
         lambda s, d: G.valid_links(links(s, d), blocks(s, d))[0],

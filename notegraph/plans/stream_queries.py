@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notegraph.functions.ids import make_id
+from notegraph.functions.ids import doc_id, make_id
 from notegraph.operators import browse as B
 from notegraph.operators import cluster as C
 from notegraph.operators import embed as M
 from notegraph.operators import tables as T
 from notegraph.operators import text as X
-from notegraph.plans.graph_queries import EMBEDDED, _embedded
+from notegraph.plans.graph_queries import _embedded
 from notegraph.plans.text_queries import MARKED, events_stream
 from notegraph.plans.vector_queries import labels, vecs
-from notegraph.plans.views import blocks, graph_sql, marked_notes, order_tags, table
+from notegraph.plans.views import blocks, graph_sql, marked_notes, order_tags, path_of, table
 from notegraph.sources.notes import render_pages
 from notegraph.streaming import changes as S
 
@@ -74,6 +74,13 @@ def vectors_after(spark: SparkSession, sf: str) -> DataFrame:
     return T.upsert(old, ev, ["block_id"])
 
 
+def embedded_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors of segments (even numbers) and of documents (odd ones)."""
+    e, key = table(spark, sf, "embeddings"), F.col("vec_id").cast("string")
+    of = F.when(F.col("vec_id") % 2 == 0, make_id(F.lit("seg"), key)).otherwise(doc_id(path_of(F.col("vec_id"))))
+    return e.select(of.alias("block_id"), "embedding")
+
+
 def embedded_docs(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lit("data_block").alias("kind"), F.col("text").alias("content"))
     have = table(spark, sf, "labels").select(F.col("doc_id").alias("block_id"))
@@ -122,8 +129,9 @@ QUERIES = {
         UNION ALL SELECT substr(sha256('seg:' || item_id), 1, 16), 9.0 FROM benchmark""",
     ),
     "reset_vectors": (
-        lambda s, d: M.reset(_embedded(s, d), blocks(s, d), "data_block").select("block_id"),
-        graph_sql(f"{EMBEDDED} |with| SELECT block_id FROM emb WHERE block_id NOT IN (SELECT id FROM blocks WHERE kind = 'data_block')"),
+        lambda s, d: M.reset(embedded_kinds(s, d), blocks(s, d), "data_block").select("block_id"),
+        graph_sql("""emb2 AS (SELECT substr(sha256(CASE vec_id % 2 WHEN 0 THEN 'seg:' || vec_id ELSE 'doc:customers/' || vec_id || '.md' END), 1, 16) AS block_id FROM embeddings)
+        |with| SELECT block_id FROM emb2 WHERE block_id NOT IN (SELECT id FROM blocks WHERE kind = 'data_block')"""),
     ),
     "browse_tags": (
         lambda s, d: B.page(B.tagged(tagged_blocks(s, d), _two_tags(s, d)), 100).select("id", "block_time"),

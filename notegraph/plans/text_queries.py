@@ -65,6 +65,12 @@ def cleaned(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", F.sha2(F.regexp_replace(X.clean(noisy), r"(?U)\s+", " "), 256).alias("sha"))
 
 
+def tagged_notes(spark: SparkSession, sf: str) -> DataFrame:
+    """The raw documents with tags before and behind, one of them twice, and what is no tag."""
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", F.concat(F.lit("#"), "lang", F.lit(" "), "text", F.lit(" #a/"), "source", F.lit(",#"), "lang", F.lit(" x#no")).alias("content"))
+
+
 def events_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Events as workstream updates: views set the status, clicks the context, others add a log line."""
     e = table(spark, sf, "events")
@@ -122,7 +128,7 @@ def label_replies(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.explode(X.json_rows(F.col("raw"), "array<struct<id:bigint,quality:int>>")).alias("x")).select("x.id", "x.quality")
 
 
-EXCLUDE = ["src1/**", "**/src2/**", "*.tmp.md", "src3", "**/7.md"]
+EXCLUDE = ["src1/**", "**/src2/**", "*1.md", "src3", "**/7.md"]
 QUERIES = {
     "split_notes": (
         split_notes,
@@ -144,8 +150,8 @@ QUERIES = {
         """SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS part, trim(regexp_replace(regexp_replace(text, '[\\n#]', ' ', 'g'), '\\s+', ' ', 'g')) AS words FROM conversations""",
     ),
     "inline_tags": (
-        lambda s, d: notes(s, d).select("path", F.explode(X.tags(F.col("content"))).alias("tag")),
-        """SELECT source || '/' || doc_id || '.md' AS path, unnest(list_distinct(regexp_extract_all(text, '(?:^|[^\\w\\p{L}\\p{N}])#([a-zA-Z0-9_/\\-]+)', 1))) AS tag FROM documents""",
+        lambda s, d: tagged_notes(s, d).select("doc_id", F.explode(X.tags(F.col("content"))).alias("tag")),
+        """SELECT doc_id, unnest(list_distinct(regexp_extract_all('#' || lang || ' ' || text || ' #a/' || source || ',#' || lang || ' x#no', '(?:^|[^\\w\\p{L}\\p{N}])#([a-zA-Z0-9_/\\-]+)', 1))) AS tag FROM documents""",
     ),
     "wikilinks": (
         lambda s, d: marked_notes(s, d).select("path", F.explode(X.wikilinks(F.col("content"))).alias("link")),
@@ -171,8 +177,8 @@ QUERIES = {
     ),
     "exclude_paths": (
         lambda s, d: notes(s, d).where(~X.excluded(F.col("path"), EXCLUDE)).select("path"),
-        """SELECT path FROM (SELECT source || '/' || doc_id || '.md' AS path FROM documents) WHERE NOT (starts_with(path, 'src1') OR contains('/' || path, '/src2/')
-        OR (starts_with(path, '') AND ends_with(path, '.tmp.md')) OR path = 'src3' OR starts_with(path, 'src3/') OR ends_with(path, '7.md') OR contains(path, '/7.md'))""",
+        """SELECT path FROM (SELECT source || '/' || doc_id || '.md' AS path FROM documents) WHERE NOT (starts_with(path, 'src1/') OR contains('/' || path, '/src2/')
+        OR ends_with(path, '1.md') OR starts_with(path, 'src3/') OR ends_with(path, '/7.md'))""",
     ),
     "filename_date": (
         lambda s, d: table(s, d, "orders").select("o_orderkey", X.filename_date(F.concat(F.lit("journal/"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" note.md"))).alias("day")),

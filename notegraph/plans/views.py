@@ -1,7 +1,8 @@
 """The driver tables seen as a note graph, in Spark and (for the checks) as SQL text.
 
 customer -> document, order -> segment, part name -> tag; an order is contained in its customer's document, groups with
-the tags of its parts and links to the next customer's document (past the last key: a dangling link).
+the tags of its parts and links to the next customer's document (past the last key: a dangling link). Documents have links of
+their own: to the seventh next (``mentions``), to the tag of the part of their number (``about``), and back from some (``defines``).
 """
 
 from __future__ import annotations
@@ -70,7 +71,12 @@ def links(spark: SparkSession, sf: str) -> DataFrame:
     groups = order_tags(spark, sf).select(
         make_id(F.lit("seg"), F.col("l_orderkey").cast("string")).alias("from_id"), tag_id(F.col("tag")).alias("to_id"), F.lit("groups").alias("kind")
     )
-    return contains.unionByName(groups).unionByName(next_doc)
+    cust = table(spark, sf, "customer").select("c_custkey")
+    mentions = cust.select(doc_id(path_of(F.col("c_custkey"))).alias("from_id"), doc_id(path_of(F.col("c_custkey") + 7)).alias("to_id"), F.lit("mentions").alias("kind"))
+    part = table(spark, sf, "part").select("p_partkey", tag_id(F.col("p_name")).alias("tag"))
+    about = part.select(doc_id(path_of(F.col("p_partkey"))).alias("from_id"), F.col("tag").alias("to_id"), F.lit("about").alias("kind"))
+    defines = part.where("p_partkey % 3 = 0").select(F.col("tag").alias("from_id"), doc_id(path_of(F.col("p_partkey"))).alias("to_id"), F.lit("defines").alias("kind"))
+    return contains.unionByName(groups).unionByName(next_doc).unionByName(mentions).unionByName(about).unionByName(defines)
 
 
 GRAPH_SQL = """
@@ -88,7 +94,13 @@ links AS (
   UNION ALL
   SELECT substr(sha256('seg:' || l_orderkey), 1, 16), substr(sha256('tag:' || tag), 1, 16), 'groups' FROM order_tags
   UNION ALL
-  SELECT substr(sha256('seg:' || o_orderkey), 1, 16), substr(sha256('doc:customers/' || (o_custkey + 1) || '.md'), 1, 16), 'links_to' FROM orders)
+  SELECT substr(sha256('seg:' || o_orderkey), 1, 16), substr(sha256('doc:customers/' || (o_custkey + 1) || '.md'), 1, 16), 'links_to' FROM orders
+  UNION ALL
+  SELECT substr(sha256('doc:customers/' || c_custkey || '.md'), 1, 16), substr(sha256('doc:customers/' || (c_custkey + 7) || '.md'), 1, 16), 'mentions' FROM customer
+  UNION ALL
+  SELECT substr(sha256('doc:customers/' || p_partkey || '.md'), 1, 16), substr(sha256('tag:' || p_name), 1, 16), 'about' FROM part
+  UNION ALL
+  SELECT substr(sha256('tag:' || p_name), 1, 16), substr(sha256('doc:customers/' || p_partkey || '.md'), 1, 16), 'defines' FROM part WHERE p_partkey % 3 = 0)
 """
 
 

@@ -23,8 +23,45 @@ def test_traverse_cycle_and_diamond(spark):
 def test_hub_scores(spark):
     blocks = spark.createDataFrame([("d1", G.DOC, "D1"), ("d2", G.DOC, "D2"), ("s1", G.SEG, "s"), ("s2", G.SEG, "s")], "id string, kind string, title string")
     links = spark.createDataFrame([("s1", "d1", "contains"), ("s2", "d2", "contains"), ("s2", "d1", "links_to")], "from_id string, to_id string, kind string")
+    links = links.unionByName(spark.createDataFrame([("d2", "t1", "about"), ("d2", "d1", "mentions"), ("s1", "d1", "groups")], links.schema))
     got = {r.id: (r.links_in, r.links_out, r.segments, r.score) for r in G.hub_scores(blocks, links).collect()}
-    assert got == {"d1": (1, 0, 1, round(0.7 * np.log(2), 6)), "d2": (0, 1, 1, round(0.5 * np.log(2), 6))}
+    assert got == {"d1": (3, 0, 1, round(0.5 * np.log(4) + 0.2 * np.log(2), 6)), "d2": (0, 2, 1, round(0.3 * np.log(3) + 0.2 * np.log(2), 6))}
+
+
+def test_tag_details(spark):
+    blocks = spark.createDataFrame([("t1", G.TAG, "a", None), ("t2", G.TAG, "b", None), ("s1", G.SEG, "s", "2024-01-02"), ("s2", G.SEG, "s", "2024-03-01")], "id string, kind string, title string, block_time string")
+    links = spark.createDataFrame([("s1", "t1", "groups"), ("s2", "t1", "groups"), ("d1", "t1", "about"), ("t1", "d1", "defines")], "from_id string, to_id string, kind string")
+    got = {r.id: (r.segments, r.links_in, r.links_out, r.last_active, r.score) for r in G.tag_details(blocks, links).collect()}
+    assert got == {"t1": (2, 1, 1, "2024-03-01", round(0.5 * np.log(4) + 0.3 * np.log(2) + 0.2 * np.log(3), 6)), "t2": (0, 0, 0, None, 0.0)}
+
+
+def test_related_filters_and_deletes(spark):
+    blocks = spark.createDataFrame([("a", "k", "A", "x", "1"), ("b", "k", "B", "y", "2"), ("c", "k", "C", "x", "2")], "id string, kind string, title string, source string, pass_id string")
+    links = spark.createDataFrame([("a", "b", "p"), ("c", "a", "q"), ("c", "a", "p")], "from_id string, to_id string, kind string")
+    start = spark.createDataFrame([("a",)], "id string")
+    show = lambda **kw: {(r.id, r.link_kind, r.direction) for r in G.related(blocks, links, start, **kw).collect()}
+    assert show() == {("b", "p", "outgoing"), ("c", "q", "incoming"), ("c", "p", "incoming")}
+    assert show(kind="p", direction="incoming") == {("c", "p", "incoming")} and show(direction="outgoing") == {("b", "p", "outgoing")}
+    kept, left = T.delete_where(blocks, links, source="x", pass_id="2")
+    assert {r.id for r in kept.collect()} == {"a", "b"} and left.count() == 1
+    with pytest.raises(ValueError):
+        T.delete_where(blocks, links)
+
+
+def test_knn_in_blocks(spark, monkeypatch):
+    """Several blocks of queries, several batches, ties: the same as brute force."""
+    monkeypatch.setattr(S, "QUERY_BLOCK", 7)
+    r = np.random.default_rng(3)
+    v = r.normal(size=(300, 6))
+    v = np.concatenate([v, v[:20]]) / np.linalg.norm(np.concatenate([v, v[:20]]), axis=1)[:, None]
+    table = spark.createDataFrame([(k, [float(x) for x in row]) for k, row in enumerate(v)], "id int, vec array<double>").repartition(3)
+    got = {}
+    for x in S.knn(table.where("id % 10 = 0").withColumnRenamed("id", "query_id"), table, 5).collect():
+        got.setdefault(x.query_id, {})[x.rank] = x.id
+    for q, found in got.items():
+        dist = np.round(np.sqrt(np.maximum(0, 2 - 2 * v @ v[q])), 6)
+        assert [found[k] for k in range(1, 6)] == sorted(range(len(v)), key=lambda k: (dist[k], k))[:5]
+    assert len(got) == 32
 
 
 def test_orphans_and_cascade(spark):
