@@ -12,8 +12,8 @@ from notegraph.operators import tables as T
 from notegraph.plans.views import blocks, graph_sql, links, path_of, table
 
 AS_OF = "1998-08-02"
-#: Four weeks behind the last orders: some tags are older, some are not.
-LATER = "1998-08-30"
+#: Four weeks behind the last orders but one day: some tags are older, some are not.
+LATER = "2001-08-28"
 
 
 def _b(spark: SparkSession, sf: str) -> DataFrame:

@@ -241,9 +241,9 @@ QUERIES = {
         "SELECT CAST(floor(length(text) / 500) AS BIGINT) AS bin, count(*) AS n FROM documents GROUP BY 1",
     ),
     "idea_loops": (
-        lambda s, d: I.idea_loops(dated(s, d).select("id", F.col("label").alias("topic"), "day", "vec"), 0.1, 2),
+        lambda s, d: I.idea_loops(dated(s, d).select("id", F.col("label").alias("topic"), "day", "vec"), 0.1, 1),
         f"""WITH {V}, {T}, x AS (SELECT v.id, label, day, vec FROM v JOIN t USING (id)), p AS (SELECT a.label AS topic, a.id AS a, b.id AS b, CAST(b.day - a.day AS INTEGER) AS gap, {DOT.format('a.vec', 'b.vec')} AS s
-        FROM x a JOIN x b ON a.label = b.label AND b.day - a.day >= 2) SELECT topic, a, b, gap, round(s, 6) AS similarity FROM p WHERE s >= 0.1""",
+        FROM x a JOIN x b ON a.label = b.label AND b.day - a.day >= 1) SELECT topic, a, b, gap, round(s, 6) AS similarity FROM p WHERE s >= 0.1""",
     ),
     "trajectory_coherence": (
         lambda s, d: I.trajectory_coherence(dated(s, d).select(F.col("label").alias("topic"), F.struct("block_time", "id").alias("at"), "vec")),
