@@ -1,13 +1,14 @@
 """Density clustering: mutual reachability cut at one level.
 
 The hierarchy of all levels needs its merges in one sequence, so one task would see the whole corpus; here the level is an
-argument (or a quantile of the core distances), and everything is joins: neighbours from hashed cells, core distances,
-edges within reach, connected components, and noise for components below the least size.
+argument (or a quantile of the core distances), and everything is joins: exact nearest neighbours between parts of cells,
+core distances, edges within reach, connected components, and noise for components below the least size.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,43 +17,87 @@ from pyspark.sql import functions as F
 
 from notegraph.session import cut
 
+#: Cells at most; beyond that cells have more parts, and nothing is lost.
+CELLS = 4096
 
-def neighbours(vectors: DataFrame, k: int, cell: int = 2000, tables: int = 6, seed: int = 7) -> DataFrame:
-    """``a, b, dist``: up to k nearest others of each row of ``vectors(id, vec)`` among rows that share a cell.
 
-    A cell is a signature of random hyperplanes, long enough that cells hold about ``cell`` rows; each of ``tables``
-    signatures is tried. Up to ``cell`` rows there is one cell, and the neighbours are exact.
+def _gaps(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T))
+
+
+def neighbours(vectors: DataFrame, k: int, cell: int = 1024) -> DataFrame:
+    """``a, b, dist``: the exact k nearest others of each row of ``vectors(id, vec)``, by distance, then id.
+
+    Rows belong to the cell of their nearest pivot (about ``cell`` rows a pivot, drawn by hash of the id); a cell that is
+    larger is dealt into parts. A row's k nearest lie within a distance that the cells' sizes and radii bound, and it is
+    compared with the parts of those cells only that reach so near, two parts at a time. Where distances hardly differ
+    nothing can be left out, and all parts meet: exact, but with the square of the rows. Collapse equal vectors first.
     """
+    spark, kind = vectors.sparkSession, dict(vectors.dtypes)["id"]
     n = vectors.count()
-    bits = max(0, math.ceil(math.log2(max(1, n) / cell)))
-    kind = dict(vectors.dtypes)["id"]
-    if bits:
-        dims = vectors.select(F.size("vec")).first()[0]
-        planes = np.random.default_rng(seed).normal(size=(tables, bits, dims))
-        dot = lambda p: F.aggregate(F.zip_with(F.col("vec").cast("array<double>"), F.array(*map(F.lit, map(float, p))), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-        keys = [F.concat(F.lit(f"{t}:"), *[F.when(dot(p) > 0, "1").otherwise("0") for p in planes[t]]) for t in range(tables)]
-        rows = vectors.select("id", "vec", F.explode(F.array(*keys)).alias("cell"))
-    else:
-        rows = vectors.select("id", "vec", F.lit("all").alias("cell"))
-
-    def near(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = np.stack(pdf["vec"].to_numpy()).astype(float)
-        ids = pdf["id"].to_numpy()
-        sq = (m * m).sum(1)
-        out = []
-        for lo in range(0, len(m), 512):
-            d = np.sqrt(np.maximum(0, sq[lo : lo + 512, None] + sq[None] - 2 * m[lo : lo + 512] @ m.T))
-            d[np.arange(len(d)), np.arange(lo, lo + len(d))] = np.inf
-            top = np.argsort(d, axis=1, kind="stable")[:, :k]
-            dist = np.take_along_axis(d, top, 1)
-            ok = np.isfinite(dist)
-            at = np.broadcast_to(np.arange(lo, lo + len(d))[:, None], top.shape)
-            out.append(pd.DataFrame({"a": ids[at[ok]], "b": ids[top[ok]], "dist": dist[ok]}))
-        return pd.concat(out)
-
-    pairs = rows.groupBy("cell").applyInPandas(near, f"a {kind}, b {kind}, dist double").groupBy("a", "b").agg(F.min("dist").alias("dist"))
-    best = pairs.groupBy("a").agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", "b"))), 1, k).alias("n"))  # at most k * tables a row
-    return best.select("a", F.explode("n").alias("x")).select("a", "x.b", "x.dist")
+    chosen = vectors.orderBy(F.xxhash64("id"), "id").limit(min(CELLS, max(1, -(-n // cell)))).select("vec").collect()
+    if not chosen:
+        return spark.createDataFrame([], f"a {kind}, b {kind}, dist double")
+    pivots = spark.sparkContext.broadcast(np.array([r[0] for r in chosen], float))
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            d = _gaps(np.stack(pdf["vec"].to_numpy()).astype(float), pivots.value)
+            yield pdf.assign(home=d.argmin(1).astype("int32"), away=d.min(1))
+
+    placed = cut(vectors.select("id", "vec").mapInPandas(place, f"id {kind}, vec array<double>, home int, away double"), "placed")
+    cells = placed.groupBy("home").agg(F.count("*").alias("n"), F.max("away").alias("radius")).toPandas()  # at most CELLS rows
+    sizes = np.zeros(len(chosen), int)
+    radius = np.zeros(len(chosen))
+    sizes[cells["home"]], radius[cells["home"]] = cells["n"], cells["radius"]
+    parts = -(-sizes // cell)
+    shared = spark.sparkContext.broadcast((sizes, radius, parts))
+
+    def aim(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Each row with the parts it must be compared with."""
+        sizes, radius, parts = shared.value
+        between = _gaps(pivots.value, pivots.value)
+        for pdf in batches:
+            d = _gaps(np.stack(pdf["vec"].to_numpy()).astype(float), pivots.value)
+            far = d + radius
+            order = np.argsort(far, axis=1)
+            enough = (np.cumsum(sizes[order], axis=1) > k).argmax(1)  # the row itself is one of them
+            bound = far[np.arange(len(d)), order[np.arange(len(d)), enough]] if sizes.sum() > k else np.full(len(d), math.inf)
+            home = pdf["home"].to_numpy()
+            apart = between[home]
+            own = d[np.arange(len(d)), home][:, None]
+            plane = np.divide(d * d - own * own, 2 * apart, out=np.zeros_like(d), where=apart > 0)
+            met = (np.maximum(d - radius, plane) <= bound[:, None] + 1e-6) & (sizes > 0)
+            lists = [[(int(c), int(p)) for c in np.flatnonzero(row) for p in range(parts[c])] for row in met]
+            pdf = pdf.assign(to=[[{"home": c, "part": p} for c, p in x] for x in lists])
+            yield pdf.drop(columns="away")
+
+    many = F.element_at(F.array(*[F.lit(int(p)) for p in parts]), F.col("home") + 1)
+    dealt = placed.withColumn("part", F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), many)).cast("int"))
+    schema = f"id {kind}, vec array<double>, home int, part int, to array<struct<home: int, part: int>>"
+    aimed = dealt.select("id", "vec", "home", "away", "part").mapInPandas(aim, schema)
+    asking = aimed.withColumn("to", F.explode("to")).select("id", "vec", "home", "part", F.col("to.home").alias("to_home"), F.col("to.part").alias("to_part"))
+    asking = cut(asking, "asking")
+    keys = ["home", "part", "to_home", "to_part"]
+    met = asking.select(*[F.col(c).alias(f"of_{c}") for c in keys]).distinct()
+    there = dealt.select("id", "vec", F.col("home").alias("of_to_home"), F.col("part").alias("of_to_part"))
+    there = there.join(met, ["of_to_home", "of_to_part"])
+
+    def near(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame(columns=["a", "b", "dist"])
+        a, b = left["id"].to_numpy(), right.sort_values("id")
+        d = _gaps(np.stack(left["vec"].to_numpy()).astype(float), np.stack(b["vec"].to_numpy()).astype(float))
+        b = b["id"].to_numpy()
+        d[a[:, None] == b[None]] = np.inf
+        top = np.argsort(d, axis=1, kind="stable")[:, :k]
+        dist = np.take_along_axis(d, top, 1)
+        x, y = np.nonzero(np.isfinite(dist))
+        return pd.DataFrame({"a": a[x], "b": b[top[x, y]], "dist": dist[x, y]})
+
+    pairs = asking.groupBy(*keys).cogroup(there.groupBy(*[f"of_{c}" for c in keys])).applyInPandas(near, f"a {kind}, b {kind}, dist double")
+    rank = F.row_number().over(Window.partitionBy("a").orderBy("dist", "b"))
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -73,21 +118,32 @@ def density(vectors: DataFrame, min_cluster_size: int, min_samples: int | None =
     """``id, label``: clusters of at least ``min_cluster_size`` rows, numbered by size, then id; noise is -1.
 
     ``reach``: the level of mutual reachability; by default that quantile of the core distances (distance to the
-    ``min_samples``-th row, the row itself counted).
+    ``min_samples``-th row, the row itself counted). Edges are those of the graph of nearest neighbours. Equal vectors are
+    one row with a weight until the labels are given back.
     """
     k = max(1, (min_samples or min_cluster_size) - 1)
-    near = cut(neighbours(vectors, k), "near")
-    core = near.groupBy("a").agg(F.max("dist").alias("core"), F.count("*").alias("n")).where(F.col("n") == k)
-    core = cut(core.select("a", "core"), "core")
+    vectors = vectors.select("id", F.col("vec").cast("array<double>").alias("vec"))
+    same = cut(vectors.groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("w")), "same")
+    near = cut(neighbours(same.select("id", "vec"), k), "near")
+    others = near.join(same.select(F.col("id").alias("b"), "w"), "b").select(F.col("a").alias("id"), "dist", "w")
+    seen = same.select("id", F.lit(0.0).alias("dist"), (F.col("w") - 1).alias("w")).unionByName(others)
+    within = F.sum("w").over(Window.partitionBy("id").orderBy("dist").rowsBetween(Window.unboundedPreceding, 0))  # at most k + 1 rows
+    core = seen.withColumn("within", within).where(F.col("within") >= k).groupBy("id").agg(F.min("dist").alias("core"))
+    core = cut(core.join(same.select("id", "w"), "id"), "core")
     if reach is None:
-        reach = core.agg(F.percentile_approx("core", F.lit(quantile), F.lit(100000))).first()[0]
+        # a weight counts as so many rows, made in two steps so that no list is long
+        some = core.select("core", "w", F.explode(F.sequence(F.lit(0), F.col("w") - 1, F.lit(4096))).alias("from"))
+        each = some.select("core", F.explode(F.sequence(F.lit(1), F.least(F.lit(4096), F.col("w") - F.col("from")))))
+        reach = each.agg(F.percentile_approx("core", F.lit(quantile), F.lit(100000))).first()[0]
     if reach is None:
         return vectors.select("id", F.lit(-1).alias("label"))
-    dense = core.where(F.col("core") <= reach)
-    edges = near.where(F.col("dist") <= reach).join(dense.select("a"), "a", "left_semi").join(dense.select(F.col("a").alias("b")), "b", "left_semi")
-    comp = components(edges)
-    sizes = comp.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") >= min_cluster_size)
+    dense = cut(core.where(F.col("core") <= reach).select("id", "w"), "dense")
+    ids = dense.select("id")
+    edges = near.where(F.col("dist") <= reach).join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi")
+    comp = dense.join(components(edges), "id", "left").select("id", "w", F.coalesce("component", "id").alias("component"))
+    sizes = comp.groupBy("component").agg(F.sum("w").alias("n")).where(F.col("n") >= min_cluster_size)
     # one row a cluster
     numbered = sizes.withColumn("label", F.row_number().over(Window.orderBy(F.desc("n"), "component")) - 1)
     kept = comp.join(numbered.select("component", "label"), "component").select("id", "label")
-    return vectors.select("id").join(kept, "id", "left").select("id", F.coalesce("label", F.lit(-1)).alias("label"))
+    kept = same.select("id", "vec").join(kept, "id").select("vec", "label")
+    return vectors.join(kept, "vec", "left").select("id", F.coalesce("label", F.lit(-1)).alias("label"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
@@ -101,16 +103,36 @@ def histogram(rows: DataFrame, column: str, width: float) -> DataFrame:
     return rows.groupBy(F.floor(F.col(column) / width).alias("bin")).agg(F.count("*").alias("n"))
 
 
-def idea_loops(rows: DataFrame, least: float, gap_days: int) -> DataFrame:
-    """Pairs of one topic, ``gap_days`` or more apart, with cosine at least ``least``. ``rows(id, topic, day, vec)``.
+def idea_loops(rows: DataFrame, least: float, gap_days: int, part: int = 1024) -> DataFrame:
+    """Pairs of one topic, ``gap_days`` (at least 1) or more apart, the earlier first, with cosine at least ``least``. ``rows(id, topic, day, vec)``.
 
-    The topic is the join key; without one, block the vectors by a hash of their signs first.
+    A topic is dealt into parts of about ``part`` rows; two parts at a time are multiplied in one task, which passes on only
+    the pairs that are near enough. Rows without a topic, day or vector are in no pair.
     """
-    a = rows.select("topic", F.col("id").alias("a"), F.col("day").alias("day_a"), F.col("vec").alias("va"))
-    b = rows.select("topic", F.col("id").alias("b"), F.col("day").alias("day_b"), F.col("vec").alias("vb"))
-    met = a.join(b, "topic").where(F.datediff("day_b", "day_a") >= gap_days)
-    met = met.withColumn("similarity", dot(F.col("va"), F.col("vb"))).where(F.col("similarity") >= least)
-    return met.select("topic", "a", "b", F.datediff("day_b", "day_a").alias("gap"), F.round("similarity", 6).alias("similarity"))
+    rows = rows.select("topic", "id", F.unix_date(F.to_date("day")).alias("day"), "vec").dropna()
+    parts = F.ceil(F.count("*") / part).cast("int")
+    dealt = rows.join(rows.groupBy("topic").agg(parts.alias("parts")), "topic")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = dealt.select("topic", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "day", "vec")
+    kinds = dict(rows.dtypes)
+
+    def near(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+        first, second = pdf[pdf["part"] == i], pdf[pdf["part"] == j]
+        if first.empty or second.empty:
+            return pd.DataFrame(columns=["topic", "a", "b", "gap", "similarity"])
+        cosine = np.stack(first["vec"].to_numpy()).astype(float) @ np.stack(second["vec"].to_numpy()).astype(float).T
+        gap = second["day"].to_numpy()[None] - first["day"].to_numpy()[:, None]
+        x, y = np.nonzero((cosine >= least) & ((gap if i == j else np.abs(gap)) >= gap_days))
+        later = gap[x, y] > 0
+        p, q = first["id"].to_numpy()[x], second["id"].to_numpy()[y]
+        found = {"a": np.where(later, p, q), "b": np.where(later, q, p), "gap": np.abs(gap[x, y]), "similarity": cosine[x, y]}
+        return pd.DataFrame({"topic": pdf["topic"].iloc[0]} | found, index=range(len(x)))
+
+    pairs = f"topic {kinds['topic']}, a {kinds['id']}, b {kinds['id']}, gap int, similarity double"
+    both = met.groupBy("topic", "i", "j").applyInPandas(near, pairs)
+    return both.withColumn("similarity", F.round("similarity", 6))
 
 
 def trajectory_coherence(points: DataFrame) -> DataFrame:

@@ -210,5 +210,45 @@ def test_density_finds_blobs_and_noise(spark):
     for c in range(3):
         assert len({got[f"{c}-{k}"] for k in range(20)}) == 1
     assert {x for x in got.values() if x >= 0} == {0, 1, 2}
-    few = D.neighbours(v, 3, cell=20, tables=8)
-    assert few.groupBy("a").count().where("count > 3").count() == 0
+
+
+def test_neighbours_are_exact_between_parts(spark):
+    """Against all distances: cells of several parts, more copies of a vector than k, numbers that are far apart."""
+    from notegraph.operators import density as D
+
+    rng = np.random.default_rng(4)
+    m = np.concatenate([rng.normal(c * 5, 1, (60, 3)) for c in range(4)] + [np.ones((45, 3))])
+    rows = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(m)], "id long, vec array<double>").repartition(3)
+    d = np.sqrt(((m[:, None] - m[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    for cell in (20, 1024):
+        got = D.neighbours(rows, 4, cell=cell).toPandas()
+        assert (got.groupby("a").size() == 4).all() and got["a"].nunique() == len(m)
+        for a, g in got.groupby("a"):
+            assert np.sort(g["dist"]) == pytest.approx(np.sort(d[a])[:4], abs=1e-5)
+            assert list(g["dist"]) == pytest.approx([d[a, b] for b in g["b"]], abs=1e-5)
+    assert D.neighbours(rows.limit(2), 4).count() == 2 and D.neighbours(rows.limit(0), 4).count() == 0
+
+
+def test_density_weighs_copies(spark):
+    from notegraph.operators import density as D
+
+    rows = [(f"x{i}", [0.0, 0.0]) for i in range(6)] + [(f"y{i}", [5.0, i / 10]) for i in range(5)] + [("z", [9.0, 9.0])]
+    v = spark.createDataFrame(rows, "id string, vec array<double>")
+    got = {r.id: r.label for r in D.density(v, 5, 4, reach=0.5).collect()}
+    assert {got[f"x{i}"] for i in range(6)} == {0} and {got[f"y{i}"] for i in range(5)} == {1} and got["z"] == -1
+    free = {r.id: r.label for r in D.density(v, 5, 4, quantile=0.9).collect()}
+    assert len({free[f"x{i}"] for i in range(6)}) == 1 and free["x0"] >= 0
+
+
+def test_loops_between_parts(spark):
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(90, 4))
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    rows = [(i, None if i == 7 else "t" if i % 3 else "u", None if i == 8 else f"2024-0{1 + i % 9}-11", None if i == 10 else m[i].tolist()) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, topic string, day string, vec array<double>")
+    ok = [i for i in range(90) if i not in (7, 8, 10)]
+    want = {(a, b) for a in ok for b in ok if (a % 3 > 0) == (b % 3 > 0) and b % 9 - a % 9 >= 1 and m[a] @ m[b] >= 0.5}
+    for part in (11, 1024):
+        got = [(r.a, r.b) for r in Q.idea_loops(df, 0.5, 20, part).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
