@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from notegraph.operators.text import stem, strip
 
 
+# Fixed value: part of the task file format, which the programs that pick tasks up are told to read.
+TASK_NOTE = (
+    "Process the user instruction(s) above in the context of the source block.\n"
+    "The instruction text is the user's own words \u2014 interpret and execute accordingly."
+)
+
+
 def slug(text: Column, most: int = 50) -> Column:
     """Words in lower case, joined by dashes, without signs: part of a file name."""
     words = F.split(F.lower(text), r"(?U)[\s_]+")
@@ -27,8 +34,9 @@ def dispatch(segments: DataFrame) -> DataFrame:
     rows = segments.where(F.size("instructions") > 0).withColumn("title", task_title(F.col("instructions"), F.col("content")))
     quoted = F.array_join(F.transform("instructions", lambda z: F.concat(F.lit("> "), z)), "\n")
     body = F.concat(
-        F.lit("---\nstatus: pending\nsource_block_id: "), F.col("id"), F.lit('\nsource_note: "[['), stem(F.col("path")), F.lit(']]"\n---\n\n# '), F.col("title"),
-        F.lit("\n\n## Context\n\n"), strip(F.col("content")), F.lit("\n\n## User instruction\n\n"), quoted, F.lit("\n"),
+        F.lit("---\nstatus: pending\nsource_block_id: "), F.col("id"), F.lit('\nsource_note: "[['), stem(F.col("path")), F.lit(']]"\n---\n# '), F.col("title"),
+        F.lit("\n\n## Context\n\n"), strip(F.col("content")), F.lit("\n\n## User instruction\n\n"), quoted,
+        F.lit(f"\n\n## Task\n\n{TASK_NOTE}\n\n## Human Todo\n\n## Results\n"),
     )
     return rows.select(F.concat(slug(F.col("title")), F.lit("-"), F.substring("id", 1, 8), F.lit(".md")).alias("file_name"), "title", body.alias("body"))
 
@@ -71,9 +79,12 @@ def list_streams(streams: DataFrame, status: str | None = None, preview: int = 1
     return rows.select("stream", "status", "last_active", F.substring("left_off", 1, preview).alias("preview")).orderBy(F.col("status") != "active", "last_active", "stream")
 
 
-def find_streams(streams: DataFrame, wanted: DataFrame) -> DataFrame:
-    """For each ``wanted(name)`` the stream whose slug is it, or is its slug, or whose name equals it in any case, in that order."""
-    s = streams.withColumn("slug", slug(F.col("stream")))
+def find_streams(streams: DataFrame, wanted: DataFrame, key: Column | None = None) -> DataFrame:
+    """For each ``wanted(name)`` the stream whose slug is it, or is its slug, or whose name equals it in any case, in that order.
+
+    ``key``: the slug, by default made of the stream's name.
+    """
+    s = streams.withColumn("slug", slug(F.col("stream")) if key is None else key)
     met = (
         wanted.join(s, wanted["name"] == s["slug"]).select("name", F.lit(1).alias("rule"), "stream")
         .unionByName(wanted.join(s, slug(wanted["name"]) == s["slug"]).select("name", F.lit(2).alias("rule"), "stream"))
@@ -82,6 +93,24 @@ def find_streams(streams: DataFrame, wanted: DataFrame) -> DataFrame:
     return met.groupBy("name").agg(F.min_by("stream", F.struct("rule", "stream")).alias("stream"))
 
 
+def stream_context(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Full state of the stream that each ``wanted(name)`` means (see :func:`find_streams`); ``found`` is false where none is meant.
+
+    Columns: name, found, slug, stream, status, last_active, linked_sessions, context, left_off, log. A file without a name, a
+    status or a day of activity has its file name, ``active`` and the empty text there.
+    """
+    sessions = F.element_at(front_matter(F.col("content")), "linked_sessions")
+    listed = F.filter(F.transform(F.split(F.regexp_replace(sessions, r"[\[\]]", ""), ","), strip), lambda x: x != "")
+    more = files.select("path", F.coalesce(listed, F.array().cast("array<string>")).alias("linked_sessions"))
+    s = parse_streams(files).join(more, "path").withColumn("slug", stem(F.col("path")))
+    s = s.withColumn("stream", F.coalesce("stream", "slug")).withColumn("status", F.coalesce("status", F.lit("active"))).withColumn("last_active", F.coalesce("last_active", F.lit("")))
+    met = find_streams(s, wanted, F.col("slug"))
+    rest = ["slug", "status", "last_active", "linked_sessions", "context", "left_off", "log"]
+    one = s.groupBy("stream").agg(F.min_by(F.struct(*rest), "slug").alias("s"))
+    full = wanted.distinct().join(met, "name", "left").join(one, "stream", "left")
+    return full.select("name", F.col("stream").isNotNull().alias("found"), "stream", *[F.col(f"s.{c}").alias(c) for c in rest])
+
+
 def fold_streams(events: DataFrame) -> DataFrame:
     """State of each slug after its update events (slug, seq, left_off, context, status, log, session): the last value
     that is set wins, log lines are joined in order, sessions are a set."""

@@ -48,7 +48,7 @@ def debounce(spark: SparkSession, sf: str) -> DataFrame:
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """Marked notes arrive as changes, are split and numbered; the same as the batch split."""
     d = S.read_table(spark, f"{sf}/documents.parquet")
-    content = F.concat(F.lit("## "), "source", F.lit("\n"), F.regexp_replace("text", r"[\n#\[\]]", " "), F.lit("\nzzz check "), "lang", F.lit("\n"))
+    content = F.concat(F.lit("## "), "source", F.lit("\n"), F.col("text"), F.lit("\nzzz check "), "lang", F.lit("\n"))
     rows = d.select(F.concat(F.lit("n/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), content.alias("content"), F.lit("2024-01-01").cast("timestamp").alias("event_ts"))
     got = S.ingest(rows, X.split_notes, "ingest")
     return got.select("path", "section_heading", F.array_join("instructions", ",").alias("instructions"), F.sha2("clean_content", 256).alias("sha"))
@@ -111,7 +111,7 @@ QUERIES = {
     "stream_ingest": (
         stream_ingest,
         """SELECT 'n/' || doc_id || '.md' AS path, source AS section_heading, 'check ' || lang AS instructions,
-        sha256(regexp_replace(regexp_replace(regexp_replace(text, '[\\n#\\[\\]]', ' ', 'g'), '^\\s+', ''), '^$', '')) AS sha FROM documents""",
+        sha256(trim(regexp_replace(text, '\\n{3,}', chr(10) || chr(10), 'g'), chr(10) || ' ')) AS sha FROM documents""",
     ),
     "stream_fold": (
         stream_fold,
@@ -154,6 +154,7 @@ QUERIES = {
     ),
     "export_segments": (
         lambda s, d: X.split_notes(marked_notes(s, d).select("path", "content")).select(F.to_json(F.struct("path", "section_date", "tags", "links")).alias("line")),
-        f"""WITH {MARKED} SELECT '{{"path":"' || path || '","section_date":"' || day || '","tags":["lang/' || lang || '"],"links":["' || source || '"]}}' AS line FROM s""",
+        f"""WITH {MARKED}, q AS (SELECT path, day, coalesce(array_to_string(list_transform(tags, lambda x: '"' || x || '"'), ','), '') AS t, coalesce(array_to_string(list_transform(links, lambda x: '"' || x || '"'), ','), '') AS l FROM s)
+        SELECT '{{"path":"' || path || '","section_date":"' || day || '","tags":[' || t || '],"links":[' || l || ']}}' AS line FROM q""",
     ),
 }

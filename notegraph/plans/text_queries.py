@@ -11,9 +11,15 @@ from notegraph.operators import text as X
 from notegraph.plans.views import conversation_notes, marked_notes, notes, table
 
 DAY = "printf('%04d-%02d-%02d', 2000 + doc_id % 25, 1 + doc_id % 12, 1 + doc_id % 28)"
-MARKED = f"""m AS (SELECT doc_id, lang, source, 'n/' || doc_id || '.md' AS path, {DAY} AS day, regexp_replace(regexp_replace(text, '[\\n#\\[\\]]', ' ', 'g'), '^\\s+', '') AS flat FROM documents),
-s AS (SELECT *, flat || chr(10) || 'see [[' || source || '|alias]] and #lang/' || lang AS clean_content,
-  flat || chr(10) || 'see [[' || source || '|alias]] and #lang/' || lang || chr(10) || 'zzz review ' || source AS content FROM m)"""
+#: The three segments of each note of ``marked_notes``: the text with what is behind it, the fence, the part behind the marker.
+MARKED = f"""m AS (SELECT doc_id, lang, source, 'n/' || doc_id || '.md' AS path, {DAY} AS day, regexp_replace(text, '^\\s+', '') AS text,
+  chr(10) || 'see [[' || source || '|alias]] and #lang/' || lang AS seen FROM documents),
+c AS (SELECT *, regexp_replace(text, '\\n{{3,}}', chr(10) || chr(10), 'g') || seen AS clean_content, text || seen || chr(10) || 'zzz review ' || source AS content FROM m),
+h AS (SELECT *, regexp_extract_all(clean_content, '(?:^|[^\\w\\p{{L}}\\p{{N}}])#([a-zA-Z0-9_/\\-]+)', 1) AS found FROM c),
+s AS (SELECT doc_id, lang, source, path, day, content, clean_content, 'review ' || source AS instructions, list_filter(found, lambda x, i: list_position(found, x) = i) AS tags, [source] AS links, day || ' heading' AS heading FROM h
+  UNION ALL SELECT doc_id, lang, source, path, day, t, t, '', CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), 'Second' FROM (SELECT *, '```' || chr(10) || '# not a heading' || chr(10) || '```' AS t FROM m)
+  UNION ALL SELECT doc_id, lang, source, path, day, 'last ' || lang, 'last ' || lang, '', CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), 'Second' FROM m)"""
+GRAPH = f"{MARKED}, g AS (SELECT substr(sha256(path || ':' || substr(sha256(content), 1, 16)), 1, 16) AS id, list_distinct([lang, source] || tags) AS all_tags, * FROM s)"
 
 
 def _segments(spark: SparkSession, sf: str) -> DataFrame:
@@ -33,7 +39,7 @@ def heading_sections(spark: SparkSession, sf: str) -> DataFrame:
 
 def marker_split(spark: SparkSession, sf: str) -> DataFrame:
     """Turns of a conversation between marker lines come back as segments."""
-    c = table(spark, sf, "conversations").select("conv_id", "turn", F.regexp_replace("text", r"[\n#]", " ").alias("t"))
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("t"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "t"))), lambda x: x["t"]), "\n qQq \n")
     whole = c.groupBy("conv_id").agg(text.alias("content"))
     parts = whole.select("conv_id", F.posexplode(F.split("content", X.MARKER, -1)).alias("part", "raw"))
@@ -59,8 +65,8 @@ def resolve_links(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cleaned(spark: SparkSession, sf: str) -> DataFrame:
-    """Each document inside noise that the cleaning must remove, and only that."""
-    d = table(spark, sf, "documents").select("doc_id", F.regexp_replace("text", r"[\n*_\[\]>!-]|https?", " ").alias("t"))
+    """Each document, its own lines and signs kept but emphasis and addresses, inside noise that the cleaning must remove."""
+    d = table(spark, sf, "documents").select("doc_id", F.regexp_replace("text", r"[*_]|https?", " ").alias("t"))
     noisy = F.concat(F.lit("> **note** ![pic](http://x.y/z.png) [anchor](http://a.b) http://raw.url/x\n- [ ] task\n---\n\n\n\n"), "t", F.lit("\n***\n"))
     return d.select("doc_id", F.sha2(F.regexp_replace(X.clean(noisy), r"(?U)\s+", " "), 256).alias("sha"))
 
@@ -132,22 +138,22 @@ EXCLUDE = ["src1/**", "**/src2/**", "*1.md", "src3", "**/7.md"]
 QUERIES = {
     "split_notes": (
         split_notes,
-        f"""WITH {MARKED} SELECT path, sha256(content) AS content_sha, sha256(clean_content) AS clean_sha, 'review ' || source AS instructions, 'lang/' || lang AS tags, source AS links,
-        day || ' heading' AS section_heading, day AS section_date, 'document' AS granularity, substr(sha256(content), 1, 16) AS raw_hash FROM s""",
+        f"""WITH {MARKED} SELECT path, sha256(content) AS content_sha, sha256(clean_content) AS clean_sha, instructions, array_to_string(tags, ',') AS tags, array_to_string(links, ',') AS links,
+        heading AS section_heading, day AS section_date, 'section' AS granularity, substr(sha256(content), 1, 16) AS raw_hash FROM s""",
     ),
     "front_matter": (
         lambda s, d: marked_notes(s, d).select("path", F.array_join(X.front_tags(F.col("content")), ",").alias("tags"), F.sha2(X.body(F.col("content")), 256).alias("body_sha")),
-        f"""SELECT 'n/' || doc_id || '.md' AS path, lang || ',' || source AS tags, sha256('## ' || {DAY} || ' heading' || chr(10) || regexp_replace(text, '[\\n#\\[\\]]', ' ', 'g') || chr(10) || 'see [[' || source
-        || '|alias]] and #lang/' || lang || chr(10) || 'zzz review ' || source || chr(10)) AS body_sha FROM documents""",
+        f"""SELECT 'n/' || doc_id || '.md' AS path, lang || ',' || source AS tags, sha256('## ' || {DAY} || ' heading' || chr(10) || text || chr(10) || 'see [[' || source
+        || '|alias]] and #lang/' || lang || chr(10) || 'zzz review ' || source || chr(10) || '# Second' || chr(10) || '```' || chr(10) || '# not a heading' || chr(10) || '```' || chr(10) || ' qQq' || chr(10) || 'last ' || lang || chr(10)) AS body_sha FROM documents""",
     ),
     "heading_sections": (
         heading_sections,
-        """SELECT 'conv/' || conv_id || '.md' AS path, turn || ' ' || role AS section_heading, trim(regexp_replace(regexp_replace(text, '[\\n#]', ' ', 'g'), '\\s+', ' ', 'g')) AS words
-        FROM conversations WHERE trim(regexp_replace(text, '[\\n#]', ' ', 'g')) <> ''""",
+        """SELECT 'conv/' || conv_id || '.md' AS path, turn || ' ' || role AS section_heading, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS words
+        FROM conversations WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''""",
     ),
     "marker_split": (
         marker_split,
-        """SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS part, trim(regexp_replace(regexp_replace(text, '[\\n#]', ' ', 'g'), '\\s+', ' ', 'g')) AS words FROM conversations""",
+        """SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS part, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS words FROM conversations""",
     ),
     "inline_tags": (
         lambda s, d: tagged_notes(s, d).select("doc_id", F.explode(X.tags(F.col("content"))).alias("tag")),
@@ -169,7 +175,7 @@ QUERIES = {
     "clean_text": (
         cleaned,
         """SELECT doc_id, sha256('note anchor task' || CASE WHEN t = '' THEN '' ELSE ' ' || t END) AS sha FROM
-        (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[\\n*_\\[\\]>!-]|https?', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM documents)""",
+        (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[*_]|https?', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM documents)""",
     ),
     "content_ids": (
         lambda s, d: notes(s, d).select("path", segment_id(F.col("path"), F.col("content")).alias("id")),
@@ -209,32 +215,30 @@ QUERIES = {
     ),
     "build_graph": (
         build_graph,
-        f"""WITH {MARKED}, g AS (SELECT substr(sha256(path || ':' || substr(sha256(content), 1, 16)), 1, 16) AS id, * FROM s)
-        SELECT id AS from_id, substr(sha256('doc:' || path), 1, 16) AS to_id, 'contains' AS kind FROM g
-        UNION ALL SELECT id, substr(sha256('tag:' || unnest([lang, source, 'lang/' || lang])), 1, 16), 'groups' FROM g
-        UNION ALL SELECT id, substr(sha256('doc:' || source || '.md'), 1, 16), 'links_to' FROM g""",
+        f"""WITH {GRAPH} SELECT id AS from_id, substr(sha256('doc:' || path), 1, 16) AS to_id, 'contains' AS kind FROM g
+        UNION ALL SELECT id, substr(sha256('tag:' || tag), 1, 16), 'groups' FROM (SELECT id, unnest(all_tags) AS tag FROM g)
+        UNION ALL SELECT id, substr(sha256('doc:' || link || '.md'), 1, 16), 'links_to' FROM (SELECT id, unnest(links) AS link FROM g)""",
     ),
     "graph_counts": (
         graph_counts,
-        """SELECT 'context_block:document' AS kind, count(*) AS n FROM documents UNION ALL SELECT 'data_block', count(*) FROM documents
-        UNION ALL SELECT 'context_block:tag', count(DISTINCT lang) * 2 + count(DISTINCT source) FROM documents
-        UNION ALL SELECT 'contains', count(*) FROM documents UNION ALL SELECT 'groups', 3 * count(*) FROM documents UNION ALL SELECT 'links_to', count(*) FROM documents""",
+        f"""WITH {GRAPH}, t AS (SELECT id, unnest(all_tags) AS tag FROM g) SELECT 'context_block:document' AS kind, count(*) AS n FROM documents UNION ALL SELECT 'data_block', count(DISTINCT id) FROM g
+        UNION ALL SELECT 'context_block:tag', count(DISTINCT tag) FROM t UNION ALL SELECT 'contains', count(*) FROM g UNION ALL SELECT 'groups', count(*) FROM t UNION ALL SELECT 'links_to', count(*) FROM g WHERE len(links) > 0""",
     ),
     "tag_nodes": (
         lambda s, d: _segments(s, d).select(F.explode("tags").alias("tag")).distinct(),
-        "SELECT DISTINCT 'lang/' || lang AS tag FROM documents",
+        f"WITH {MARKED} SELECT DISTINCT unnest(tags) AS tag FROM s",
     ),
     "granularity_backfill": (
         lambda s, d: X.with_granularity(X.split_notes(conversation_notes(s, d))).select("path", "section_heading", "granularity"),
-        """WITH c AS (SELECT * FROM conversations WHERE trim(regexp_replace(text, '[\\n#]', ' ', 'g')) <> '')
+        """WITH c AS (SELECT * FROM conversations WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '')
         SELECT 'conv/' || conv_id || '.md' AS path, turn || ' ' || role AS section_heading, CASE WHEN count(*) OVER (PARTITION BY conv_id) = 1 THEN 'document' ELSE 'section' END AS granularity FROM c""",
     ),
     "json_from_text": (label_replies, "SELECT doc_id AS id, quality FROM labels"),
     "dispatch_tasks": (
         lambda s, d: tasks(s, d).select("title", F.sha2("body", 256).alias("body_sha"), F.regexp_extract("file_name", "^(.*)-[0-9a-f]{8}\\.md$", 1).alias("slug")),
-        f"""WITH {MARKED}, g AS (SELECT substr(sha256(path || ':' || substr(sha256(content), 1, 16)), 1, 16) AS id, * FROM s)
-        SELECT 'review ' || source AS title, 'review-' || source AS slug, sha256('---' || chr(10) || 'status: pending' || chr(10) || 'source_block_id: ' || id || chr(10) || 'source_note: "[[' || doc_id || ']]"' || chr(10) || '---'
-        || chr(10) || chr(10) || '# review ' || source || chr(10) || chr(10) || '## Context' || chr(10) || chr(10) || content || chr(10) || chr(10) || '## User instruction' || chr(10) || chr(10) || '> review ' || source || chr(10)) AS body_sha FROM g""",
+        f"""WITH {GRAPH} SELECT instructions AS title, 'review-' || source AS slug, sha256('---' || chr(10) || 'status: pending' || chr(10) || 'source_block_id: ' || id || chr(10) || 'source_note: "[[' || doc_id || ']]"' || chr(10) || '---'
+        || chr(10) || '# ' || instructions || chr(10) || chr(10) || '## Context' || chr(10) || chr(10) || content || chr(10) || chr(10) || '## User instruction' || chr(10) || chr(10) || '> ' || instructions || chr(10)
+        || chr(10) || '## Task' || chr(10) || chr(10) || '{K.TASK_NOTE.replace("'", "''")}' || chr(10) || chr(10) || '## Human Todo' || chr(10) || chr(10) || '## Results' || chr(10)) AS body_sha FROM g WHERE instructions <> ''""",
     ),
     "pending_tasks": (
         lambda s, d: K.pending(task_files(s, d), F.lit("1998-01-01 00:00:00").cast("timestamp"), 30).select("path"),

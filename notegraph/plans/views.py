@@ -117,25 +117,25 @@ def notes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def marked_notes(spark: SparkSession, sf: str) -> DataFrame:
-    """Notes with front matter, a dated heading, a wiki link, an inline tag and an instruction around each document.
+    """The raw documents as notes: front matter, a dated heading, the text as it is with a wiki link, an inline tag and an
+    instruction behind it, then a second section with a heading inside a fence and a part behind a marker line.
 
-    A document's number picks its date; the text itself is one line, so that no line of it is taken for a heading.
+    A document's number picks its date.
     """
     d = table(spark, sf, "documents")
-    flat = F.regexp_replace("text", r"[\n#\[\]]", " ")
     day = F.format_string("%04d-%02d-%02d", 2000 + F.col("doc_id") % 25, 1 + F.col("doc_id") % 12, 1 + F.col("doc_id") % 28)
     content = F.concat(
         F.lit("---\ntags: ["), F.col("lang"), F.lit(", "), F.col("source"), F.lit("]\n---\n## "), day, F.lit(" heading\n"),
-        flat, F.lit("\nsee [["), F.col("source"), F.lit("|alias]] and #lang/"), F.col("lang"), F.lit("\nzzz review "), F.col("source"), F.lit("\n"),
+        F.col("text"), F.lit("\nsee [["), F.col("source"), F.lit("|alias]] and #lang/"), F.col("lang"), F.lit("\nzzz review "), F.col("source"),
+        F.lit("\n# Second\n```\n# not a heading\n```\n qQq\nlast "), F.col("lang"), F.lit("\n"),
     )
-    return d.select("doc_id", "lang", "source", day.alias("day"), flat.alias("flat"), F.concat(F.lit("n/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), content.alias("content"))
+    return d.select("doc_id", "lang", "source", day.alias("day"), F.concat(F.lit("n/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), content.alias("content"))
 
 
 def conversation_notes(spark: SparkSession, sf: str) -> DataFrame:
     """One note per conversation: a section ``## turn role`` for each turn, in order."""
     c = table(spark, sf, "conversations")
-    flat = F.regexp_replace("text", r"[\n#]", " ")
-    one = F.struct("turn", F.concat(F.lit("## "), F.col("turn").cast("string"), F.lit(" "), F.col("role"), F.lit("\n"), flat, F.lit("\n")).alias("t"))
+    one = F.struct("turn", F.concat(F.lit("## "), F.col("turn").cast("string"), F.lit(" "), F.col("role"), F.lit("\n"), F.col("text"), F.lit("\n")).alias("t"))
     notes = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("turns"))
     text = F.array_join(F.transform("turns", lambda x: x["t"]), "")
     return notes.select(F.concat(F.lit("conv/"), F.col("conv_id").cast("string"), F.lit(".md")).alias("path"), text.alias("content"))
