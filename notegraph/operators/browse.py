@@ -27,6 +27,23 @@ def page(rows: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     return rows.orderBy(F.desc_nulls_last("block_time"), "id").offset(offset).limit(limit)
 
 
+def browse_page(blocks: DataFrame, k: int, offset: int = 0, tags: list[str] | None = None, **filters: str | None) -> tuple[DataFrame, DataFrame]:
+    """A page of at most ``k`` rows, and one row ``count, total, has_more, next_offset`` about it.
+
+    Filters are those of :func:`browse`. Tags (of both tag columns) hold back rows of the page that was fetched, one row longer
+    than shown; the total does not count by them. The page is a top-k and at most ``k + 1`` rows.
+    """
+    rows = browse(blocks, **filters)
+    fetched = page(rows, k + 1, offset)
+    met = tagged(fetched, tags, "tags", "augi_tags") if tags else fetched
+    got = met.agg(F.count("*").alias("got"))
+    more = F.col("got") > k
+    info = got.join(rows.agg(F.count("*").alias("total"))).select(
+        F.least("got", F.lit(k).cast("long")).alias("count"), "total", more.alias("has_more"), F.when(more, F.lit(offset + k)).alias("next_offset")
+    )
+    return page(met, k), info
+
+
 def tagged(rows: DataFrame, tags: list[str], *columns: str) -> DataFrame:
     """Rows with any of ``tags`` in any of the tag columns."""
     have = F.concat(*[F.coalesce(F.col(c), F.array().cast("array<string>")) for c in columns or ("tags",)])
@@ -43,14 +60,18 @@ def since(blocks: DataFrame, start: str, kind: str | None = None) -> DataFrame:
     return browse(blocks, kind).where(F.col("block_time") >= start[:10]).orderBy("block_time", "id")
 
 
-def recent(blocks: DataFrame, k: int, tags: list[str] | None = None, order: str = "block_time") -> DataFrame:
-    """The newest k; with tags the filter comes after fetching 3k, as a list of recent blocks wants."""
-    rows = blocks.orderBy(F.desc_nulls_last(order), "id").limit(3 * k if tags else k)
-    return tagged(rows, tags).orderBy(F.desc_nulls_last(order), "id").limit(k) if tags else rows
+def recent(blocks: DataFrame, k: int, tags: list[str] | None = None, order: str = "block_time", kind: str | None = None, source: str | None = None) -> DataFrame:
+    """The newest k of a kind and source; with tags (of both tag columns, where there are two) the filter comes after fetching
+    3k, as a list of recent blocks wants. ``order``: ``block_time``, or ``ingested_at`` for what came in last."""
+    rows = browse(blocks, kind, source).orderBy(F.desc_nulls_last(order), "id").limit(3 * k if tags else k)
+    columns = [c for c in ("tags", "augi_tags") if c in blocks.columns]
+    return tagged(rows, tags, *columns).orderBy(F.desc_nulls_last(order), "id").limit(k) if tags else rows
 
 
 def summary(blocks: DataFrame, most: int = 500) -> DataFrame:
-    return blocks.select("id", "kind", "title", "source", "block_time", F.substring("content", 1, most).alias("content"))
+    """The short form of blocks; the tag columns come with it where the table has them."""
+    tags = [F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("tags", "augi_tags") if c in blocks.columns]
+    return blocks.select("id", "kind", "title", "source", "block_time", F.substring("content", 1, most).alias("content"), *tags)
 
 
 def timeline(blocks: DataFrame, until: str, source: str | None = None, query: str | None = None) -> DataFrame:

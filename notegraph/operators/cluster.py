@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,11 +25,10 @@ def truncated(vectors: DataFrame, dims: int) -> DataFrame:
 
 
 def mean_vectors(rows: DataFrame, key: str, vec: str = "vec") -> DataFrame:
-    """``key, vec, n``: means by place, combined map-side, then put in order again."""
-    each = rows.select(key, F.posexplode(vec).alias("pos", "x"))
-    means = each.groupBy(key, "pos").agg(F.avg(F.col("x").cast("double")).alias("m"), F.count("*").alias("n"))
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "m")))
-    return means.groupBy(key).agg(F.transform(ordered, lambda p: p["m"]).alias("vec"), F.max("n").alias("n"))
+    """``key, vec, n``: means of the vectors that are there, combined map-side: what is shuffled is one vector a key and task."""
+    rows = rows.where(F.col(vec).isNotNull())
+    summary = Summarizer.metrics("mean", "count").summary(array_to_vector(F.col(vec).cast("array<double>"))).alias("s")
+    return rows.groupBy(key).agg(summary).select(key, vector_to_array("s.mean").alias("vec"), F.col("s.count").alias("n"))
 
 
 def doc_pool(vectors: DataFrame, segments: DataFrame, docs: DataFrame) -> DataFrame:

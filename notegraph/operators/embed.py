@@ -75,9 +75,10 @@ def embed(texts: DataFrame, make: Callable[[], EmbeddingModel], size: int = 32)
     return texts.where("text IS NOT NULL AND text <> ''").select("id", "text").mapInPandas(run, f"block_id {kind}, vec array<double>, error string")
 
 
-def embed_missing(blocks: DataFrame, embeddings: DataFrame, make: Callable[[], EmbeddingModel], text=None) -> DataFrame:
-    """Vectors for the segments that have none; ``text`` is the column to embed (default: the cleaned content)."""
-    todo = needs_vectors(blocks, embeddings)
+def embed_missing(blocks: DataFrame, embeddings: DataFrame, make: Callable[[], EmbeddingModel], text=None, column: str | None = None) -> DataFrame:
+    """Vectors for the segments that have none; ``text`` is the column to embed (default: the cleaned content), ``column`` the
+    kind of vector that is missing."""
+    todo = needs_vectors(blocks, embeddings, column)
     return embed(todo.select("id", (clean(F.col("content")) if text is None else text).alias("text")), make)
 
 

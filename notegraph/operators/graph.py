@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from notegraph.operators.search import keyword_search, parse_queries, postings
 from notegraph.session import cut
 
 DOC, SEG, TAG = "context_block:document", "data_block", "context_block:tag"
@@ -168,6 +169,33 @@ def note_view(blocks: DataFrame, links: DataFrame) -> DataFrame:
     return full.na.fill(0, ["segments", "incoming", "outgoing"]).select("id", "title", "segments", "newest", "incoming", "outgoing")
 
 
+def open_notes(blocks: DataFrame, links: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each ``wanted(title)`` opened: the note of that title (of several the smallest id), else the best note among the five best
+    keyword hits for it.
+
+    Returns ``wanted, doc_id, note_title, found, entries, inbound, outbound`` and the entries, all columns of the note's
+    segments with ``wanted`` and ``doc_id``. Titles of no note are in the first with found = false.
+    """
+    docs = blocks.where(F.col("kind") == DOC).select("id", "title")
+    asked = wanted.select(F.col("title").alias("wanted")).where("wanted IS NOT NULL").distinct()
+    exact = asked.join(docs, asked.wanted == docs.title).groupBy("wanted").agg(F.min("id").alias("doc_id"))
+    rest = cut(asked.join(exact, "wanted", "left_anti"), "titles")
+    parsed = parse_queries(rest.select(F.col("wanted").alias("query_id"), F.col("wanted").alias("text")))
+    found, lengths = postings(blocks.select("id", "title", "content"), ["title", "content"], parsed.select(F.explode("terms").alias("term")))
+    hits = keyword_search(found, lengths, parsed, 5).join(docs.select("id"), "id", "left_semi")
+    near = hits.groupBy(F.col("query_id").alias("wanted")).agg(F.min_by("id", "rank").alias("doc_id"))
+    met = cut(exact.unionByName(near), "opened")
+    held = doc_segments(blocks, links).select(F.col("doc").alias("doc_id"), "id")
+    entries = met.join(held, "doc_id").join(blocks, "id")
+    ids = met.select("doc_id").distinct()
+    count = lambda rows, key, name: rows.select(F.col(key).alias("doc_id")).join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias(name))
+    out = asked.join(met, "wanted", "left").join(docs.select(F.col("id").alias("doc_id"), F.col("title").alias("note_title")), "doc_id", "left")
+    for part in (count(held, "doc_id", "entries"), count(links, "to_id", "inbound"), count(links, "from_id", "outbound")):
+        out = out.join(part, "doc_id", "left")
+    out = out.na.fill(0, ["entries", "inbound", "outbound"])
+    return out.select("wanted", "doc_id", "note_title", F.col("doc_id").isNotNull().alias("found"), "entries", "inbound", "outbound"), entries
+
+
 def valid_links(links: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links with both ends, and the unresolved ones (to be kept and tried again)."""
     ids = blocks.select("id").distinct()

@@ -99,6 +99,22 @@ def length_tertiles(rows: DataFrame, cuts: tuple[float, float] = (0.33, 0.67)) -
     return rows.join(F.broadcast(edge)).select("id", "length", bucket.alias("bucket"))
 
 
+def tertile_samples(rows: DataFrame, most: int = 300, seed: int = 42) -> DataFrame:
+    """At most ``most`` rows of each bucket of :func:`length_tertiles`, by hash of (id, seed): the same on every run."""
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.sha2(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed))), 256), "id"))
+    return length_tertiles(rows).withColumn("n", rank).where(F.col("n") <= most).drop("n")
+
+
+def finished_labels(rows: DataFrame, review: str = "NEEDS_REVIEW") -> DataFrame:
+    """The rows whose label is settled: there, not blank, and not marked for review."""
+    return rows.where((F.trim("label") != "") & (F.col("label") != review))
+
+
+def left_to_label(rows: DataFrame, done: DataFrame) -> DataFrame:
+    """The rows whose id has no settled label in ``done(id, label)`` yet."""
+    return rows.join(finished_labels(done).select("id"), "id", "left_anti")
+
+
 def histogram(rows: DataFrame, column: str, width: float) -> DataFrame:
     return rows.groupBy(F.floor(F.col(column) / width).alias("bin")).agg(F.count("*").alias("n"))
 

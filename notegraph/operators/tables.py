@@ -78,8 +78,10 @@ def report(diff: DataFrame) -> DataFrame:
     return diff.groupBy("status").agg(F.count("*").alias("n"), F.count_distinct("source_path").alias("files"))
 
 
-def needs_vectors(blocks: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """Segments with content and no vector."""
+def needs_vectors(blocks: DataFrame, embeddings: DataFrame, column: str | None = None) -> DataFrame:
+    """Segments with content and no vector; with ``column`` (of several kinds of vectors in a row) none of that kind."""
+    if column is not None:
+        embeddings = embeddings.where(F.col(column).isNotNull())
     rows = blocks.where("kind = 'data_block' AND content IS NOT NULL AND content <> ''")
     return rows.join(embeddings.select(F.col("block_id").alias("id")), "id", "left_anti")
 

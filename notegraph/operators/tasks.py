@@ -29,8 +29,11 @@ def task_title(instructions: Column, content: Column) -> Column:
     return F.substring(F.coalesce(said, line, F.lit("untitled task")), 1, 80)
 
 
-def dispatch(segments: DataFrame) -> DataFrame:
-    """``file_name, body``: a pending task for each segment (path, id, content, instructions) that gives one."""
+def dispatch(segments: DataFrame, block_id: str | None = None) -> DataFrame:
+    """``file_name, title, body``: a pending task for each segment (path, id, content, instructions) that gives one.
+
+    ``block_id``: a column to return as such.
+    """
     rows = segments.where(F.size("instructions") > 0).withColumn("title", task_title(F.col("instructions"), F.col("content")))
     quoted = F.array_join(F.transform("instructions", lambda z: F.concat(F.lit("> "), z)), "\n")
     body = F.concat(
@@ -38,7 +41,7 @@ def dispatch(segments: DataFrame) -> DataFrame:
         F.lit("\n\n## Context\n\n"), strip(F.col("content")), F.lit("\n\n## User instruction\n\n"), quoted,
         F.lit(f"\n\n## Task\n\n{TASK_NOTE}\n\n## Human Todo\n\n## Results\n"),
     )
-    return rows.select(F.concat(slug(F.col("title")), F.lit("-"), F.substring("id", 1, 8), F.lit(".md")).alias("file_name"), "title", body.alias("body"))
+    return rows.select(F.concat(slug(F.col("title")), F.lit("-"), F.substring("id", 1, 8), F.lit(".md")).alias("file_name"), "title", body.alias("body"), *([F.col(block_id).alias("block_id")] if block_id else []))
 
 
 def front_matter(content: Column) -> Column:

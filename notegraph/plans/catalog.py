@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from notegraph.plans import graph_queries, search_queries, stream_queries, text_queries, vector_queries
+from notegraph.plans import graph_queries, search_queries, stream_queries, text_queries, vector_queries, view_queries
 
-MODULES = (graph_queries, text_queries, search_queries, vector_queries, stream_queries)
+MODULES = (graph_queries, text_queries, search_queries, vector_queries, stream_queries, view_queries)
 
 
 def _all() -> dict:

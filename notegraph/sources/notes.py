@@ -67,3 +67,30 @@ def render_pages(blocks: DataFrame) -> DataFrame:
     folder = F.when(kind == "cluster", "clusters").when(kind == "bridge", "bridges").when(kind == "tag", "tags").otherwise("notes")
     body = F.concat(F.lit("# "), "title", F.lit("\n\n"), F.coalesce("content", F.lit("")))
     return blocks.select(F.concat(folder, F.lit("/"), safe_name(F.col("title")), F.lit(".md")).alias("rel_path"), body.alias("content"))
+
+
+#: Pages of one name, by the type of what they show; a hub or a concept has a page of its own in that folder.
+SINGLE_PAGES = {"index": "INDEX.md", "recent_activity": "RECENT.md", "graph_health": "HEALTH.md"}
+FOLDER_PAGES = {"hub_summary": "hubs", "concept": "concepts"}
+
+
+def plain_name(name: Column) -> Column:
+    """A name as a file name: slashes are dashes, other signs but dash, underscore and blank are left out."""
+    kept = F.trim(F.regexp_replace(F.regexp_replace(name, r"[/\\]", "-"), r"(?U)[^\p{L}\p{N}\-_ ]", ""))
+    return F.when(kept == "", "unnamed").otherwise(kept)
+
+
+def compiled_pages(blocks: DataFrame) -> DataFrame:
+    """``rel_path, content`` of compiled blocks (id, context_type, scope, content), routed by type; other types give no page.
+
+    Of blocks of one path the one of the greatest id stays, as the last written would.
+    """
+    kind = F.col("context_type")
+    path = F.lit(None).cast("string")
+    for t, name in SINGLE_PAGES.items():
+        path = F.when(kind == t, name).otherwise(path)
+    own = plain_name(F.replace(F.coalesce("scope", F.lit("unknown")), F.lit("tag:"), F.lit("")))
+    for t, folder in FOLDER_PAGES.items():
+        path = F.when(kind == t, F.concat(F.lit(folder + "/"), own, F.lit(".md"))).otherwise(path)
+    rows = blocks.select(path.alias("rel_path"), "id", F.coalesce("content", F.lit("")).alias("content")).where("rel_path IS NOT NULL")
+    return rows.groupBy("rel_path").agg(F.max_by("content", "id").alias("content"))

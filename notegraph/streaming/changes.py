@@ -60,6 +60,39 @@ def fold(updates: DataFrame) -> DataFrame:
     return updates.groupBy("slug").applyInPandasWithState(step, f"slug string, {STATE}", STATE, "update", GroupStateTimeout.NoTimeout)
 
 
+def settle(changes: DataFrame, seconds: int = 30, delay: str = "1 minute") -> DataFrame:
+    """``path, fire_at``: each task file (path, event_ts, status) that stayed pending for ``seconds`` without a change, once.
+
+    Event time decides, so that a run over old changes gives what a run at their time gave: a gap of ``seconds`` behind a
+    pending version fires, whether the next change ends it or the watermark passes it. Of changes at the same time the last by
+    status counts. A path that has fired stays silent.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, status, fired = state.get if state.exists else (None, None, False)
+        wait, at = seconds * 1000, None
+        if state.hasTimedOut:
+            if status == "pending" and not fired:
+                at = last + wait
+        else:
+            rows = pd.concat(list(frames)).sort_values(["ms", "status"])
+            for ms, now in zip(rows["ms"].tolist(), rows["status"].tolist(), strict=True):
+                if last is not None and at is None and not fired and status == "pending" and ms - last >= wait:
+                    at = last + wait
+                if last is None or ms >= last:  # a late change of the past does not undo a newer one
+                    last, status = ms, now
+        fired = fired or at is not None
+        state.update((last, status, fired))
+        if status == "pending" and not fired:
+            state.setTimeoutTimestamp(max(last + wait, state.getCurrentWatermarkMs() + 1))
+        if at is not None:
+            yield pd.DataFrame({"path": [key[0]], "ms": [at]})
+
+    rows = changes.select("path", "event_ts", F.unix_millis("event_ts").alias("ms"), "status").withWatermark("event_ts", delay).groupBy("path")
+    out = rows.applyInPandasWithState(step, "path string, ms bigint", "last bigint, status string, fired boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select("path", F.timestamp_millis("ms").alias("fire_at"))
+
+
 def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is there and return what it wrote.
 
@@ -77,18 +110,33 @@ def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFra
     return spark.read.parquet(f"{base}/out")
 
 
+def newest(batch: DataFrame) -> DataFrame:
+    """The last version of each path; of versions of one time the greatest content."""
+    return batch.groupBy("path").agg(F.max_by("content", F.struct("event_ts", "content")).alias("content"))
+
+
+def current(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Of ``rows(path, batch, ...)`` those written by the last batch that had the path (``files(path, batch)``)."""
+    last = files.groupBy("path").agg(F.max("batch").alias("batch"))
+    return rows.join(last, ["path", "batch"], "left_semi")
+
+
 def ingest(changes: DataFrame, process: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
-    """An ingest cycle a batch: the newest version of each path goes through ``process`` and its result is kept."""
+    """A cycle a batch: the newest version of each path goes through ``process``, whose rows keep the path.
+
+    A path that comes in a later batch again replaces what it gave before, also where it now gives nothing.
+    """
     spark = changes.sparkSession
     base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def cycle(batch: DataFrame, number: int) -> None:
-        newest = batch.groupBy("path").agg(F.max_by("content", "event_ts").alias("content"))
-        process(newest).write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+        files = newest(batch)
+        files.select("path").write.mode("overwrite").parquet(f"{base}/files/batch={number}")
+        process(files).write.mode("overwrite").parquet(f"{base}/out/batch={number}")
 
     query = changes.writeStream.foreachBatch(cycle).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    return current(spark.read.parquet(f"{base}/out"), spark.read.parquet(f"{base}/files")).drop("batch")
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:

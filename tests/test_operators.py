@@ -5,13 +5,17 @@ import pytest
 from pyspark.sql import functions as F
 
 from notegraph.operators import cluster as C
+from notegraph.operators import browse as B
 from notegraph.operators import embed as M
+from notegraph.operators import explorer as X
 from notegraph.operators import graph as G
 from notegraph.operators import quality as Q
 from notegraph.operators import search as S
 from notegraph.operators import tables as T
 from notegraph.operators import tasks as K
 from notegraph.sources import notes as N
+from notegraph.streaming import changes as W
+from notegraph.streaming import cycle as Y
 
 
 def test_traverse_cycle_and_diamond(spark):
@@ -252,3 +256,126 @@ def test_loops_between_parts(spark):
     for part in (11, 1024):
         got = [(r.a, r.b) for r in Q.idea_loops(df, 0.5, 20, part).collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_pages(spark):
+    rows = [(i, "k", f"2024-01-{i:02d}", ["a"] if i % 2 else None, ["b"] if i == 4 else None) for i in range(1, 8)]
+    blocks = spark.createDataFrame(rows, "id int, kind string, block_time string, tags array<string>, augi_tags array<string>")
+    got, info = B.browse_page(blocks, 3, 1, kind="k")
+    assert [r.id for r in got.collect()] == [6, 5, 4] and tuple(info.first()) == (3, 7, True, 4)
+    got, info = B.browse_page(blocks, 3, 4)
+    assert [r.id for r in got.collect()] == [3, 2, 1] and tuple(info.first()) == (3, 7, False, None)
+    got, info = B.browse_page(blocks, 3, 0, ["b"])
+    assert [r.id for r in got.collect()] == [4] and tuple(info.first()) == (1, 7, False, None)
+    got, info = B.browse_page(blocks, 3, kind="none")
+    assert got.collect() == [] and tuple(info.first()) == (0, 0, False, None)
+    assert [r.id for r in B.recent(blocks, 2, ["a", "b"]).collect()] == [7, 5]
+
+
+def test_open_notes(spark):
+    blocks = spark.createDataFrame(
+        [("d2", G.DOC, "Plan", None, None), ("d1", G.DOC, "Plan", None, None), ("d3", G.DOC, "Garden plan", None, None), ("s1", G.SEG, "x", "text", "2024"), ("s2", G.SEG, "roses", "garden", None)],
+        "id string, kind string, title string, content string, block_time string",
+    )
+    links = spark.createDataFrame([("s1", "d1", "contains"), ("s2", "d3", "contains"), ("d3", "d1", "links_to"), ("s1", "d3", "links_to")], "from_id string, to_id string, kind string")
+    found, entries = G.open_notes(blocks, links, spark.createDataFrame([("Plan",), ("garden",), ("nothing",), (None,), ("Plan",), ("?!",)], "title string"))
+    assert {r.wanted: tuple(r)[1:] for r in found.collect()} == {
+        "Plan": ("d1", "Plan", True, 1, 2, 0), "garden": ("d3", "Garden plan", True, 1, 2, 1), "nothing": (None, None, False, 0, 0, 0), "?!": (None, None, False, 0, 0, 0),
+    }
+    assert {(r.wanted, r.id, r.content) for r in entries.collect()} == {("Plan", "s1", "text"), ("garden", "s2", "garden")}
+
+
+def test_explorer(spark):
+    rows = [("a", "data_block", None, "x", "in/n.md", "2024-05-06"), ("b", "data_block", "T", None, None, "no day at all"), ("c", "data_block", "", "x", "", None), ("d", "data_block", "T", "x", "inside/n.md", None)]
+    rows += [("e", "data_block", "T", "x", "/in/deep/n.md", None), ("f", "context_block:document", None, "whole", "in/n.md", None)]
+    blocks = spark.createDataFrame(rows, "id string, kind string, title string, content string, source_path string, block_time string")
+    vectors = spark.createDataFrame([(i, [1.0, 0.0, float(k)]) for k, i in enumerate("abcdef")], "id string, vec array<double>")
+    shown = X.data_blocks(blocks, vectors, ["in"])
+    assert {r.id: (r.title, r.content, r.source_path) for r in shown.collect()} == {"a": ("", "x", "in/n.md"), "b": ("T", "", "T"), "c": ("", "x", "c"), "e": ("T", "x", "/in/deep/n.md")}
+    assert {r.id for r in X.data_blocks(blocks, vectors).collect()} == set("abcde")
+    labels = spark.createDataFrame([("p", "a", "1"), ("q", "a", "1_2")], "pass_id string, id string, label string")
+    got = {r.id: r for r in X.payload(shown, blocks, labels).collect()}
+    assert got["a"].cluster_assignments == {"p": "1", "q": "1_2"} and got["b"].cluster_assignments == {}
+    assert (got["a"].date, got["b"].date, got["a"].source_content, got["b"].source_content) == ("2024-05", None, "whole", "")
+
+
+def test_fine_grid(spark):
+    rng = np.random.default_rng(1)
+    points = [(int(i), (np.eye(4)[i % 2] + 0.01 * rng.standard_normal(4)).tolist()) for i in range(20)]
+    vectors = spark.createDataFrame([*points, (99, [0.0, 0.0, 1.0, 0.0])], "id bigint, vec array<double>")
+    parents = spark.createDataFrame([(i, 7) for i, _ in points] + [(99, 8)], "id bigint, label int")
+    got = X.fine_grid(vectors, parents, 7, [4], [5, 50], [2, 20]).collect()
+    assert {(r.method, r.setting) for r in got} == {("density", 5), ("kmeans", 2)}, "settings that want more rows are left out"
+    assert sorted(r.n for r in got if r.method == "kmeans") == [10, 10] and {r.pct for r in got if r.method == "kmeans"} == {50.0}
+    assert sum(r.n for r in got if r.method == "density") == 20
+
+
+def test_compiled_pages(spark):
+    rows = [(1, "index", None, "old"), (2, "index", None, "new"), (3, "hub_summary", "tag:a/b!", "hub"), (4, "concept", None, None), (5, "other", "x", "y"), (6, None, "x", "y"), (7, "concept", "tag:?", "z")]
+    got = N.compiled_pages(spark.createDataFrame(rows, "id int, context_type string, scope string, content string"))
+    assert {tuple(r) for r in got.collect()} == {("INDEX.md", "new"), ("hubs/a-b.md", "hub"), ("concepts/unknown.md", ""), ("concepts/unnamed.md", "z")}
+
+
+def test_stream_context(spark):
+    files = [("s/my-work.md", "---\nstream: My Work\nlinked_sessions: [s1, s2]\n---\n## Context\nc\n"), ("s/bare.md", "## Log\n- a\n")]
+    wanted = spark.createDataFrame([("my-work",), ("MY WORK",), ("bare",), ("none",)], "name string")
+    got = {r.name: r for r in K.stream_context(spark.createDataFrame(files, "path string, content string"), wanted).collect()}
+    assert got["my-work"].linked_sessions == ["s1", "s2"] and got["MY WORK"].context == "c" and got["my-work"].status == "active"
+    assert (got["bare"].found, got["bare"].stream, got["bare"].last_active, got["bare"].log, got["bare"].linked_sessions) == (True, "bare", "", "- a", [])
+    assert got["none"].found is False and got["none"].slug is None
+
+
+def stream_of(spark, folder, batches, schema):
+    """A stream that takes the given lists of rows one a batch."""
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/part={k}")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/part=*")
+
+
+def test_settle(spark, tmp_path):
+    at = lambda s: f"2024-01-01 00:{s // 60:02d}:{s % 60:02d}"
+    batches = [
+        [("a", at(0), "pending"), ("b", at(0), "pending"), ("c", at(0), "active"), ("d", at(0), "pending")],
+        [("a", at(20), "pending"), ("b", at(40), "active"), ("d", at(10), "active")],
+        [("a", at(200), "pending"), ("z", at(3000), "active")],
+        [("z", at(3500), "active"), ("late", at(3490), "pending")],
+    ]
+    rows = stream_of(spark, str(tmp_path / "in"), batches, "path string, event_ts string, status string").withColumn("event_ts", F.to_timestamp("event_ts"))
+    got = W.run_available(W.settle(rows, 30), "settle").collect()
+    assert sorted((r.path, r.fire_at.strftime("%M:%S")) for r in got) == [("a", "00:50"), ("b", "00:30")], "once each; d was taken in time, late is still waiting"
+
+
+def test_ingest_cycles(spark, tmp_path):
+    class Failing(M.HashingModel):
+        def embed_texts(self, texts):
+            if any("bad" in t for t in texts):
+                raise ValueError("no vector for bad")
+            return super().embed_texts(texts)
+
+    base = str(tmp_path / "store")
+    Y.create(spark, base)
+    one, two = "# A\nfirst\n# B\nbad text\n", "# A\nfirst\n# C\nnew\nzzz write to Ann\n"
+    batches = [[("n.md", "2024-01-01 00:00:00", "older"), ("n.md", "2024-01-01 00:00:01", one), ("m.md", "2024-01-01 00:00:00", "same\nzzz look it up")], [("n.md", "2024-01-02 00:00:00", two), ("m.md", "2024-01-02 00:00:00", "same\nzzz look it up")]]
+    for k, rows in enumerate(batches):
+        batch = spark.createDataFrame(rows, "path string, event_ts string, content string")
+        for _ in range(2):  # a batch that runs again replaces itself
+            Y.run_cycle(batch, base, k, Failing)
+    diff = Y.read(spark, base, "diff").groupBy("batch", "path", "status").count()
+    assert {tuple(r) for r in diff.collect()} == {(0, "n.md", "added", 2), (0, "m.md", "added", 1), (1, "n.md", "kept", 1), (1, "n.md", "added", 1), (1, "n.md", "removed", 1)}
+    assert {(r.path, r.content.split("\n")[0]) for r in Y.segments_now(spark, base).collect()} == {("n.md", "first"), ("n.md", "new"), ("m.md", "same")}
+    assert Y.read(spark, base, "vectors").where("vec IS NULL").collect()[0].error == "no vector for bad"
+    assert Y.vectors_now(spark, base).count() == 3 and Y.read(spark, base, "vectors").where("vec IS NOT NULL").count() == 3, "kept segments keep their vectors"
+    assert {(r.batch, r.title) for r in Y.read(spark, base, "tasks").collect()} == {(0, "look it up"), (1, "write to Ann")}
+    Y.run_cycle(spark.createDataFrame([("x.md", "2024-01-03 00:00:00", "bad")], "path string, event_ts string, content string"), base, 2, Failing)
+    assert Y.vectors_now(spark, base).count() == 3
+    Y.retry(spark, base, 1000, M.HashingModel)
+    assert Y.vectors_now(spark, base).count() == 4, "what failed is tried again"
+
+
+def test_ingest_replaces_paths(spark, tmp_path):
+    batches = [[("a", "2024-01-01", "# A\nx"), ("b", "2024-01-01", "y")], [("a", "2024-01-02", "z"), ("b", "2024-01-02", "")]]
+    rows = stream_of(spark, str(tmp_path / "in"), batches, "path string, event_ts string, content string")
+    from notegraph.operators.text import split_notes
+
+    got = W.ingest(rows, split_notes, "again")
+    assert {(r.path, r.content) for r in got.collect()} == {("a", "z")}
