@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from notegraph.llm import dedup, licenses, mixing, packing, pii, quality, secrets, simhash, tokens, toxicity
+from notegraph.llm import dedup, licenses, merkle, mixing, packing, pii, quality, secrets, simhash, tokens, toxicity
 from notegraph.llm.common import documents, labels
 
 
@@ -22,8 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": lambda spark, sf: packing.op8(spark, documents(spark, sf)),
         "op9_exact_dedup": lambda spark, sf: dedup.op9(spark, documents(spark, sf)),
         "op10_secrets": lambda spark, sf: secrets.op10(spark, documents(spark, sf)),
+        "op11_merkle": lambda spark, sf: merkle.op11(spark, documents(spark, sf)),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": dedup.ORACLE}
+    return {"op9_exact_dedup": dedup.ORACLE, "op11_merkle": merkle.ORACLE}
