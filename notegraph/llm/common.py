@@ -22,6 +22,10 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
 def slim(docs: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, so that extra columns of the caller can never clash with an operator's own."""
     return docs.select(*[docs[c] for c in columns])

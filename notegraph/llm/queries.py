@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from notegraph.llm import dedup, licenses, merkle, mixing, packing, pii, quality, secrets, simhash, tokens, toxicity
-from notegraph.llm.common import documents, labels
+from notegraph.llm import bitplanes, dedup, fingerprints, licenses, merkle, mixing, packing, pii, quality, secrets, simhash, tokens, toxicity
+from notegraph.llm.common import documents, labels, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,8 +23,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_exact_dedup": lambda spark, sf: dedup.op9(spark, documents(spark, sf)),
         "op10_secrets": lambda spark, sf: secrets.op10(spark, documents(spark, sf)),
         "op11_merkle": lambda spark, sf: merkle.op11(spark, documents(spark, sf)),
+        "op12_bitplane_clusters": lambda spark, sf: bitplanes.op12(spark, vectors(spark, sf)),
+        "op13_fingerprints": lambda spark, sf: fingerprints.op13(spark, documents(spark, sf)),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": dedup.ORACLE, "op11_merkle": merkle.ORACLE}
+    return {"op9_exact_dedup": dedup.ORACLE, "op11_merkle": merkle.ORACLE, "op12_bitplane_clusters": bitplanes.ORACLE}
