@@ -35,7 +35,7 @@ def browse_page(blocks: DataFrame, k: int, offset: int = 0, tags: list[str] | No
     """
     rows = browse(blocks, **filters)
     fetched = page(rows, k + 1, offset)
-    met = tagged(fetched, tags, "tags", "augi_tags") if tags else fetched
+    met = tagged(fetched, tags, "tags", "given_tags") if tags else fetched
     got = met.agg(F.count("*").alias("got"))
     more = F.col("got") > k
     info = got.join(rows.agg(F.count("*").alias("total"))).select(
@@ -64,13 +64,13 @@ def recent(blocks: DataFrame, k: int, tags: list[str] | None = None, order: str
     """The newest k of a kind and source; with tags (of both tag columns, where there are two) the filter comes after fetching
     3k, as a list of recent blocks wants. ``order``: ``block_time``, or ``ingested_at`` for what came in last."""
     rows = browse(blocks, kind, source).orderBy(F.desc_nulls_last(order), "id").limit(3 * k if tags else k)
-    columns = [c for c in ("tags", "augi_tags") if c in blocks.columns]
+    columns = [c for c in ("tags", "given_tags") if c in blocks.columns]
     return tagged(rows, tags, *columns).orderBy(F.desc_nulls_last(order), "id").limit(k) if tags else rows
 
 
 def summary(blocks: DataFrame, most: int = 500) -> DataFrame:
     """The short form of blocks; the tag columns come with it where the table has them."""
-    tags = [F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("tags", "augi_tags") if c in blocks.columns]
+    tags = [F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("tags", "given_tags") if c in blocks.columns]
     return blocks.select("id", "kind", "title", "source", "block_time", F.substring("content", 1, most).alias("content"), *tags)
 
 

@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 
 from notegraph.functions.ids import bridge_id, cluster_id
 from notegraph.functions.vectors import dot, head
+from notegraph.operators import lloyd
+from notegraph.operators.tree import density_tree
+from notegraph.session import cut
 
 
 def truncated(vectors: DataFrame, dims: int) -> DataFrame:
@@ -39,13 +42,12 @@ def doc_pool(vectors: DataFrame, segments: DataFrame, docs: DataFrame) -> DataFr
 def kmeans(vectors: DataFrame, k: int, dims: int | None = None, seed: int = 42) -> DataFrame:
     """``id, label``; every row gets a label. The number of clusters is held below the number of rows."""
     rows = truncated(vectors, dims) if dims else vectors
-    rows = rows.select("id", array_to_vector("vec").alias("features")).persist()
+    rows = cut(rows.select("id", array_to_vector("vec").alias("features")), "features")
     n = rows.count()
     if n == 0:
         return rows.select("id", F.lit(0).alias("label"))
     model = KMeans(k=max(2, min(k, n)), maxIter=20, seed=seed).fit(rows)
-    out = model.transform(rows).select("id", F.col("prediction").alias("label"))
-    return out
+    return model.transform(rows).select("id", F.col("prediction").alias("label"))
 
 
 def centroids(vectors: DataFrame, labels: DataFrame) -> DataFrame:
@@ -72,18 +74,11 @@ def bridges(noise: DataFrame, means: DataFrame, threshold: float = 0.5) -> DataF
     return met.select("id", F.posexplode("two").alias("place", "x")).select("id", (-F.col("x.back")).alias("label"), F.round("x.similarity", 6).alias("similarity"), (F.col("place") + 1).alias("place"))
 
 
-def cluster_within(vectors: DataFrame, parents: DataFrame, k: int, least: int = 5, seed: int = 42) -> DataFrame:
-    """``id, parent_label, label``: k-means inside each parent cluster of at least ``least`` rows.
-
-    One fit per parent, on the executors; the loop runs over parent labels, a number the parent pass fixes.
-    """
-    met = vectors.join(parents.where("label >= 0"), "id").persist()
-    sizes = met.groupBy("label").count().where(F.col("count") >= least).orderBy("label").collect()
-    parts = []
-    for row in sizes:
-        child = kmeans(met.where(F.col("label") == row["label"]).select("id", "vec"), k, seed=seed)
-        parts.append(child.select("id", F.lit(row["label"]).alias("parent_label"), "label"))
-    return reduce(DataFrame.unionByName, parts) if parts else met.select("id", F.col("label").alias("parent_label"), "label").limit(0)
+def cluster_within(vectors: DataFrame, parents: DataFrame, k: int, least: int = 5, seed: int = 42, dims: int | None = None) -> DataFrame:
+    """``id, parent_label, label``: k-means inside each parent cluster of at least ``least`` rows, all parents in one job."""
+    met = vectors.join(parents.where("label >= 0").select("id", F.col("label").alias("grp")), "id")
+    labels, _ = lloyd.fit(met, [lloyd.Setting(k, dims, seed)], least)
+    return labels.select("id", F.col("grp").alias("parent_label"), F.get("labels", F.lit(0)).alias("label"))
 
 
 def propagate(doc_labels: DataFrame, segments: DataFrame) -> DataFrame:
@@ -142,26 +137,46 @@ def pass_health(labels: DataFrame, few: int = 6, many: int = 18, noise: float =
     )
 
 
-def kmeans_grid(vectors: DataFrame, dims: list[int], ks: list[int]) -> DataFrame:
-    """``dims, k, label, n, pct`` of every setting; settings with k not below the rows are left out."""
+def kmeans_grid(vectors: DataFrame, dims: list[int], ks: list[int], names: DataFrame | None = None, most: int = 8) -> DataFrame:
+    """``dims, k, label, n, pct[, names]`` of every setting, all fitted in one job; settings with k not below the rows are left out.
+
+    With ``names(id, name)`` the first ``most`` names (by id) of each cluster are given too.
+    """
     total = vectors.count()
-    parts = []
-    for d in dims:
-        for k in ks:
-            if k < total:
-                sizes = kmeans(vectors, k, d).groupBy("label").agg(F.count("*").alias("n"))
-                parts.append(sizes.select(F.lit(d).alias("dims"), F.lit(k).alias("k"), "label", "n", F.round(100 * F.col("n") / total, 2).alias("pct")))
-    return reduce(DataFrame.unionByName, parts)
+    tried = [lloyd.Setting(k, d) for d in dims for k in ks if k < total]
+    schema = "setting int, dims int, k int"
+    facts = F.broadcast(vectors.sparkSession.createDataFrame([(n, s.dims, s.k) for n, s in enumerate(tried)], schema))  # the caller's list
+    labels, _ = lloyd.fit(vectors.select("id", F.lit(0).alias("grp"), "vec"), tried)
+    rows = cut(lloyd.long(labels).select("id", "setting", "label"), "grid")
+    out = rows.groupBy("setting", "label").agg(F.count("*").alias("n"))
+    if names is not None:
+        rank = F.row_number().over(Window.partitionBy("setting", "label").orderBy("id"))
+        few = rows.withColumn("r", rank).where(F.col("r") <= most).join(names, "id")
+        few = few.groupBy("setting", "label").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "name"))), lambda x: x["name"]), ",").alias("names"))
+        out = out.join(few, ["setting", "label"], "left")
+    more = ["names"] if names is not None else []
+    return out.join(facts, "setting").select("dims", "k", "label", "n", F.round(100 * F.col("n") / total, 2).alias("pct"), *more)
 
 
 @dataclasses.dataclass(frozen=True)
 class Pass:
-    """One pass of a hierarchy: k-means over all rows, or within the labels of a parent pass."""
+    """One pass of a hierarchy, over all rows or within the labels of a parent pass.
+
+    ``k`` clusters by k-means, or clusters of at least ``min_size`` rows by density; ``least``: rows that a parent cluster
+    needs to be divided.
+    """
 
     id: str
     dims: int
-    k: int
+    k: int | None = None
     parent: str | None = None
+    min_size: int | None = None
+    min_samples: int | None = None
+    least: int = 5
+
+    def __post_init__(self) -> None:
+        if (self.k is None) == (self.min_size is None):
+            raise ValueError(f"pass {self.id} needs either k or min_size")
 
 
 def ordered(passes: list[Pass]) -> list[Pass]:
@@ -188,20 +203,44 @@ def ordered(passes: list[Pass]) -> list[Pass]:
 
 
 def cluster_dag(vectors: DataFrame, passes: list[Pass]) -> DataFrame:
-    """``pass_id, id, label`` (full labels) of all passes."""
+    """``pass_id, id, label, parent_label`` of all passes; -1 at the end of a label is noise, which has no children.
+
+    A label is full: that of its parent, an underscore, its own number; so equal numbers under different parents stay apart at
+    every level. All parents of a k-means pass are divided in one job; a density pass takes one after another.
+    """
     done: dict[str, DataFrame] = {}
-    out = []
     for p in ordered(passes):
-        rows = truncated(vectors, p.dims)
         if p.parent is None:
-            done[p.id] = kmeans(rows, p.k)
-            full = done[p.id].withColumn("label", F.col("label").cast("string"))
+            everything = vectors.select("id", F.lit(0).alias("label"))
+            got = cluster_within(vectors, everything, p.k, 1, dims=p.dims) if p.k else density_tree(truncated(vectors, p.dims), p.min_size, p.min_samples)
+            found = got.select("id", F.col("label").cast("string").alias("label"), F.lit(None).cast("string").alias("parent_label"))
         else:
-            child = cluster_within(rows, done[p.parent], p.k)
-            full = child.select("id", full_label("parent_label").alias("label"))
-            done[p.id] = child.select("id", "label")
-        out.append(full.select(F.lit(p.id).alias("pass_id"), "id", "label"))
-    return reduce(DataFrame.unionByName, out)
+            above = done[p.parent].where(~F.col("label").rlike(r"(^|_)-1$")).select("id", F.col("label").alias("parent_label"))
+            names = above.groupBy("parent_label").agg(F.count("*").alias("n")).where(F.col("n") >= max(p.least, p.min_size or 1)).orderBy("parent_label").collect()  # clusters of the parent pass
+            numbers = vectors.sparkSession.createDataFrame([(n, r["parent_label"]) for n, r in enumerate(names)], "grp int, parent_label string")
+            met = vectors.join(above.join(F.broadcast(numbers), "parent_label"), "id").select("id", "grp", "vec")
+            if p.k:
+                child = cluster_within(met.select("id", "vec"), met.select("id", F.col("grp").alias("label")), p.k, dims=p.dims)
+                child = child.select("id", F.col("parent_label").alias("grp"), "label")
+            else:
+                parts = [density_tree(truncated(met.where(F.col("grp") == n), p.dims), p.min_size, p.min_samples).select("id", F.lit(n).alias("grp"), "label") for n in range(len(names))]
+                child = reduce(DataFrame.unionByName, parts) if parts else met.select("id", "grp", F.lit(-1).alias("label")).limit(0)
+            found = child.join(F.broadcast(numbers), "grp").select("id", full_label("parent_label").alias("label"), "parent_label")
+        done[p.id] = cut(found, "pass")
+    return reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("pass_id"), "id", "label", "parent_label") for name, df in done.items()])
+
+
+def dag_stats(labels: DataFrame) -> DataFrame:
+    """A dry run's report on :func:`cluster_dag`: ``pass_id, rows, clusters, noise_pct, least, most``; nothing is stored."""
+    sizes = labels.groupBy("pass_id", "label").agg(F.count("*").alias("n")).withColumn("noise", F.col("label").rlike(r"(^|_)-1$"))
+    real = lambda c: F.when(~F.col("noise"), c)
+    return sizes.groupBy("pass_id").agg(
+        F.sum("n").alias("rows"),
+        F.count_if(~F.col("noise")).alias("clusters"),
+        F.round(100 * F.coalesce(F.sum(F.when(F.col("noise"), F.col("n"))), F.lit(0)) / F.sum("n"), 4).alias("noise_pct"),
+        F.min(real(F.col("n"))).alias("least"),
+        F.max(real(F.col("n"))).alias("most"),
+    )
 
 
 def samples(labels: DataFrame, names: DataFrame, most: int = 6) -> DataFrame:

@@ -1,12 +1,13 @@
 """Density clustering: mutual reachability cut at one level.
 
-The hierarchy of all levels needs its merges in one sequence, so one task would see the whole corpus; here the level is an
-argument (or a quantile of the core distances), and everything is joins: exact nearest neighbours between parts of cells,
-core distances, edges within reach, connected components, and noise for components below the least size.
+The level is an argument (or a quantile of the core distances), and everything is joins: exact nearest neighbours between parts
+of cells, core distances, edges within reach, connected components, and noise for components below the least size. The hierarchy
+of all levels is in ``tree``.
 """
 
 from __future__ import annotations
 
+import dataclasses
 import math
 from collections.abc import Iterator
 
@@ -25,19 +26,30 @@ def _gaps(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T))
 
 
-def neighbours(vectors: DataFrame, k: int, cell: int = 1024) -> DataFrame:
-    """``a, b, dist``: the exact k nearest others of each row of ``vectors(id, vec)``, by distance, then id.
+@dataclasses.dataclass(frozen=True)
+class Cells:
+    """Pivots, and of each cell the rows, the largest distance from its pivot, and the parts it is dealt into."""
 
-    Rows belong to the cell of their nearest pivot (about ``cell`` rows a pivot, drawn by hash of the id); a cell that is
-    larger is dealt into parts. A row's k nearest lie within a distance that the cells' sizes and radii bound, and it is
-    compared with the parts of those cells only that reach so near, two parts at a time. Where distances hardly differ
-    nothing can be left out, and all parts meet: exact, but with the square of the rows. Collapse equal vectors first.
-    """
+    pivots: np.ndarray
+    sizes: np.ndarray
+    radius: np.ndarray
+    parts: np.ndarray
+
+    def floor(self, d: np.ndarray, home: np.ndarray) -> np.ndarray:
+        """What the distance from rows (``d`` from each pivot, in cells ``home``) to any row of each cell is at least."""
+        apart = _gaps(self.pivots, self.pivots)[home]
+        own = d[np.arange(len(d)), home][:, None]
+        plane = np.divide(d * d - own * own, 2 * apart, out=np.zeros_like(d), where=apart > 0)
+        return np.maximum(d - self.radius, plane)
+
+
+def placed(vectors: DataFrame, cell: int) -> tuple[DataFrame, Cells | None]:
+    """``id, vec, home, away, part`` of ``vectors(id, vec)``: the nearest pivot, the distance from it, and the part of its cell."""
     spark, kind = vectors.sparkSession, dict(vectors.dtypes)["id"]
     n = vectors.count()
     chosen = vectors.orderBy(F.xxhash64("id"), "id").limit(min(CELLS, max(1, -(-n // cell)))).select("vec").collect()
     if not chosen:
-        return spark.createDataFrame([], f"a {kind}, b {kind}, dist double")
+        return vectors, None
     pivots = spark.sparkContext.broadcast(np.array([r[0] for r in chosen], float))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -45,35 +57,44 @@ def neighbours(vectors: DataFrame, k: int, cell: int = 1024) -> DataFrame:
             d = _gaps(np.stack(pdf["vec"].to_numpy()).astype(float), pivots.value)
             yield pdf.assign(home=d.argmin(1).astype("int32"), away=d.min(1))
 
-    placed = cut(vectors.select("id", "vec").mapInPandas(place, f"id {kind}, vec array<double>, home int, away double"), "placed")
-    cells = placed.groupBy("home").agg(F.count("*").alias("n"), F.max("away").alias("radius")).toPandas()  # at most CELLS rows
-    sizes = np.zeros(len(chosen), int)
-    radius = np.zeros(len(chosen))
-    sizes[cells["home"]], radius[cells["home"]] = cells["n"], cells["radius"]
+    rows = cut(vectors.select("id", "vec").mapInPandas(place, f"id {kind}, vec array<double>, home int, away double"), "placed")
+    found = rows.groupBy("home").agg(F.count("*").alias("n"), F.max("away").alias("radius")).toPandas()  # at most CELLS rows
+    sizes, radius = np.zeros(len(chosen), int), np.zeros(len(chosen))
+    sizes[found["home"]], radius[found["home"]] = found["n"], found["radius"]
     parts = -(-sizes // cell)
-    shared = spark.sparkContext.broadcast((sizes, radius, parts))
+    many = F.element_at(F.array(*[F.lit(int(p)) for p in parts]), F.col("home") + 1)
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), many)).cast("int"))
+    return rows, Cells(pivots.value, sizes, radius, parts)
+
+
+def neighbours(vectors: DataFrame, k: int, cell: int = 1024) -> DataFrame:
+    """``a, b, dist``: the exact k nearest others of each row of ``vectors(id, vec)``, by distance, then id.
+
+    Rows belong to the cell of their nearest pivot (about ``cell`` rows a pivot, drawn by hash of the id); a cell that is
+    larger is dealt into parts. A row's k nearest lie within a distance that the cells' sizes and radii bound, and it is
+    compared with the parts of those cells only that reach so near, two parts at a time. Where distances hardly differ
+    nothing can be left out, and all parts meet: exact, but with the square of the rows. Collapse equal vectors first.
+    """
+    spark, kind = vectors.sparkSession, dict(vectors.dtypes)["id"]
+    dealt, cells = placed(vectors, cell)
+    if cells is None:
+        return spark.createDataFrame([], f"a {kind}, b {kind}, dist double")
+    shared = spark.sparkContext.broadcast(cells)
 
     def aim(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Each row with the parts it must be compared with."""
-        sizes, radius, parts = shared.value
-        between = _gaps(pivots.value, pivots.value)
+        sizes, radius, parts = shared.value.sizes, shared.value.radius, shared.value.parts
         for pdf in batches:
-            d = _gaps(np.stack(pdf["vec"].to_numpy()).astype(float), pivots.value)
+            d = _gaps(np.stack(pdf["vec"].to_numpy()).astype(float), shared.value.pivots)
             far = d + radius
             order = np.argsort(far, axis=1)
             enough = (np.cumsum(sizes[order], axis=1) > k).argmax(1)  # the row itself is one of them
             bound = far[np.arange(len(d)), order[np.arange(len(d)), enough]] if sizes.sum() > k else np.full(len(d), math.inf)
-            home = pdf["home"].to_numpy()
-            apart = between[home]
-            own = d[np.arange(len(d)), home][:, None]
-            plane = np.divide(d * d - own * own, 2 * apart, out=np.zeros_like(d), where=apart > 0)
-            met = (np.maximum(d - radius, plane) <= bound[:, None] + 1e-6) & (sizes > 0)
+            met = (shared.value.floor(d, pdf["home"].to_numpy()) <= bound[:, None] + 1e-6) & (sizes > 0)
             lists = [[(int(c), int(p)) for c in np.flatnonzero(row) for p in range(parts[c])] for row in met]
             pdf = pdf.assign(to=[[{"home": c, "part": p} for c, p in x] for x in lists])
             yield pdf.drop(columns="away")
 
-    many = F.element_at(F.array(*[F.lit(int(p)) for p in parts]), F.col("home") + 1)
-    dealt = placed.withColumn("part", F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), many)).cast("int"))
     schema = f"id {kind}, vec array<double>, home int, part int, to array<struct<home: int, part: int>>"
     aimed = dealt.select("id", "vec", "home", "away", "part").mapInPandas(aim, schema)
     asking = aimed.withColumn("to", F.explode("to")).select("id", "vec", "home", "part", F.col("to.home").alias("to_home"), F.col("to.part").alias("to_part"))
@@ -114,6 +135,20 @@ def components(edges: DataFrame) -> DataFrame:
             return state
 
 
+def cores(vectors: DataFrame, k: int, more: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``vec, id, w`` (equal vectors as one row with a weight), the ``k + more`` nearest ``a, b, dist`` of each, and ``id, core, w``.
+
+    ``core`` is the distance within which ``k`` others lie, copies counted; rows that have not so many have none.
+    """
+    same = cut(vectors.groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("w")), "same")
+    near = cut(neighbours(same.select("id", "vec"), k + more), "near")
+    others = near.join(same.select(F.col("id").alias("b"), "w"), "b").select(F.col("a").alias("id"), "dist", "w")
+    seen = same.select("id", F.lit(0.0).alias("dist"), (F.col("w") - 1).alias("w")).unionByName(others)
+    within = F.sum("w").over(Window.partitionBy("id").orderBy("dist").rowsBetween(Window.unboundedPreceding, 0))  # at most k + more + 1 rows
+    core = seen.withColumn("within", within).where(F.col("within") >= k).groupBy("id").agg(F.min("dist").alias("core"))
+    return same, near, cut(core.join(same.select("id", "w"), "id"), "core")
+
+
 def density(vectors: DataFrame, min_cluster_size: int, min_samples: int | None = None, reach: float | None = None, quantile: float = 0.5) -> DataFrame:
     """``id, label``: clusters of at least ``min_cluster_size`` rows, numbered by size, then id; noise is -1.
 
@@ -123,13 +158,7 @@ def density(vectors: DataFrame, min_cluster_size: int, min_samples: int | None =
     """
     k = max(1, (min_samples or min_cluster_size) - 1)
     vectors = vectors.select("id", F.col("vec").cast("array<double>").alias("vec"))
-    same = cut(vectors.groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("w")), "same")
-    near = cut(neighbours(same.select("id", "vec"), k), "near")
-    others = near.join(same.select(F.col("id").alias("b"), "w"), "b").select(F.col("a").alias("id"), "dist", "w")
-    seen = same.select("id", F.lit(0.0).alias("dist"), (F.col("w") - 1).alias("w")).unionByName(others)
-    within = F.sum("w").over(Window.partitionBy("id").orderBy("dist").rowsBetween(Window.unboundedPreceding, 0))  # at most k + 1 rows
-    core = seen.withColumn("within", within).where(F.col("within") >= k).groupBy("id").agg(F.min("dist").alias("core"))
-    core = cut(core.join(same.select("id", "w"), "id"), "core")
+    same, near, core = cores(vectors, k)
     if reach is None:
         # a weight counts as so many rows, made in two steps so that no list is long
         some = core.select("core", "w", F.explode(F.sequence(F.lit(0), F.col("w") - 1, F.lit(4096))).alias("from"))

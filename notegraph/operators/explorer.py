@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notegraph.operators.cluster import kmeans, project_2d, truncated
+from notegraph.operators.cluster import kmeans_grid, project_2d, truncated
 from notegraph.operators.density import density
+from notegraph.session import cut
 
 
 def in_folders(path: Column, folders: list[str]) -> Column:
@@ -75,18 +76,19 @@ def fine_grid(vectors: DataFrame, parents: DataFrame, label: int, dims: list[int
     """Settings tried inside one parent cluster: ``method, dims, setting, label, n, pct``; density has a row for its noise (-1).
 
     Only the members of ``label`` in ``parents(id, label)`` are looked at; settings that want more rows than there are, are left
-    out. The list of settings is the caller's, one fit each.
+    out. All k-means settings are fitted in one job; a density setting is a fit of its own.
     """
-    rows = vectors.join(parents.where(F.col("label") == label).select("id"), "id", "left_semi").select("id", "vec")
+    rows = cut(vectors.join(parents.where(F.col("label") == label).select("id"), "id", "left_semi").select("id", "vec"), "members")
     total = rows.count()
+    heads = ["method", "dims", "setting", "label", "n", "pct"]
     parts = []
+    if total and any(k < total for k in ks):
+        sizes = kmeans_grid(rows, dims, ks)
+        parts.append(sizes.select(F.lit("kmeans").alias("method"), "dims", F.col("k").alias("setting"), F.col("label").cast("long").alias("label"), "n", "pct"))
     for d in dims:
-        near = truncated(rows, d)
-        tried = [("density", m, lambda m=m: density(near, m)) for m in min_sizes if m <= total]
-        tried += [("kmeans", k, lambda k=k: kmeans(near, k)) for k in ks if k < total]
-        for method, setting, fit in tried:
-            sizes = fit().groupBy("label").agg(F.count("*").alias("n"))
-            head = [F.lit(method).alias("method"), F.lit(d).alias("dims"), F.lit(setting).alias("setting")]
+        for m in (m for m in min_sizes if m <= total):
+            sizes = density(truncated(rows, d), m).groupBy("label").agg(F.count("*").alias("n"))
+            head = [F.lit("density").alias("method"), F.lit(d).alias("dims"), F.lit(m).alias("setting")]
             parts.append(sizes.select(*head, F.col("label").cast("long").alias("label"), "n", F.round(100 * F.col("n") / total, 2).alias("pct")))
     schema = "method string, dims int, setting int, label bigint, n bigint, pct double"
-    return reduce(DataFrame.unionByName, parts) if parts else vectors.sparkSession.createDataFrame([], schema)
+    return reduce(DataFrame.unionByName, [p.select(*heads) for p in parts]) if parts else vectors.sparkSession.createDataFrame([], schema)

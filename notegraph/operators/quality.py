@@ -10,8 +10,10 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from notegraph.functions.vectors import dot
+from notegraph.functions.vectors import dot, unit
+from notegraph.operators import lloyd
 from notegraph.operators.cluster import mean_vectors, truncated
+from notegraph.session import cut
 
 
 def seeded_sample(rows: DataFrame, n: int, seed: int = 42) -> DataFrame:
@@ -28,7 +30,7 @@ def folds(rows: DataFrame, n: int = 3) -> DataFrame:
 def linear_probe(vectors: DataFrame, dims: list[int], n: int = 3, iterations: int = 200) -> DataFrame:
     """``dims, accuracy``: cross-validated logistic regression on (id, vec, label). The loop is over settings."""
     spark = vectors.sparkSession
-    dealt = folds(vectors, n).persist()
+    dealt = cut(folds(vectors, n), "folds")
     out = []
     for d in dims:
         rows = truncated(dealt, d).select(array_to_vector("vec").alias("features"), F.col("label").cast("double").alias("label"), "fold").persist()
@@ -79,17 +81,59 @@ def scatter(vectors: DataFrame) -> DataFrame:
     return both.join(F.broadcast(db)).select(F.round("db", 6).alias("davies_bouldin"), F.round(ch, 4).alias("calinski_harabasz"))
 
 
-def adjusted_rand(pairs: DataFrame) -> DataFrame:
-    """Adjusted Rand index of two labelings ``(la, lb)``, from the contingency counts."""
-    cells = pairs.groupBy("la", "lb").agg(F.count("*").alias("n"))
+def adjusted_rand(pairs: DataFrame, *keys: str) -> DataFrame:
+    """Adjusted Rand index of two labelings ``(la, lb)``, from the contingency counts; one row for each value of ``keys``."""
+    cells = pairs.groupBy(*keys, "la", "lb").agg(F.count("*").alias("n"))
     two = lambda c: F.col(c) * (F.col(c) - 1) / 2
-    cell = cells.agg(F.sum(two("n")).alias("idx"), F.sum("n").alias("total"))
-    a = cells.groupBy("la").agg(F.sum("n").alias("n")).agg(F.sum(two("n")).alias("sa"))
-    b = cells.groupBy("lb").agg(F.sum("n").alias("n")).agg(F.sum(two("n")).alias("sb"))
-    met = cell.join(F.broadcast(a)).join(F.broadcast(b))
+    cell = cells.groupBy(*keys).agg(F.sum(two("n")).alias("idx"), F.sum("n").alias("total"))
+    side = lambda c, name: cells.groupBy(*keys, c).agg(F.sum("n").alias("n")).groupBy(*keys).agg(F.sum(two("n")).alias(name))
+    a, b = side("la", "sa"), side("lb", "sb")
+    met = cell.join(a, list(keys)).join(b, list(keys)) if keys else cell.join(F.broadcast(a)).join(F.broadcast(b))
     expected = F.col("sa") * F.col("sb") / two("total")
     top = (F.col("sa") + F.col("sb")) / 2
-    return met.select(F.round(F.when(top == expected, 1.0).otherwise((F.col("idx") - expected) / (top - expected)), 6).alias("ari"))
+    return met.select(*keys, F.round(F.when((top == expected) | expected.isNull(), 1.0).otherwise((F.col("idx") - expected) / (top - expected)), 6).alias("ari"))
+
+
+def silhouettes(rows: DataFrame, *keys: str) -> DataFrame:
+    """``keys, silhouette``: the mean cosine silhouette of unit vectors ``rows(*keys, label, vec)`` for each value of ``keys``.
+
+    The mean distance of a row to a cluster is one minus its product with the cluster's mean, so rows meet means only. A row
+    alone in its cluster counts 0, and so do rows of a key with one cluster.
+    """
+    each = F.struct(*keys, "label")
+    means = mean_vectors(rows.withColumn("of", each), "of").select("of.*", F.col("vec").alias("mean"), "n")
+    every = means.groupBy(*keys).agg(F.collect_list(F.struct("label", "mean", "n")).alias("means"))  # as many as clusters
+    met = rows.join(every, list(keys))
+    gap = F.transform("means", lambda m: F.struct(m["label"].alias("label"), m["n"].alias("n"), (1 - dot(F.col("vec"), m["mean"])).alias("d")))
+    met = met.select(*keys, "label", gap.alias("gap"))
+    own = F.get(F.filter("gap", lambda g: g["label"] == F.col("label")), F.lit(0))
+    other = F.array_min(F.transform(F.filter("gap", lambda g: g["label"] != F.col("label")), lambda g: g["d"]))
+    met = met.select(*keys, own["n"].alias("n"), own["d"].alias("d"), other.alias("b")).withColumn("a", F.col("d") * F.col("n") / F.greatest(F.lit(1), F.col("n") - 1))
+    worth = F.when((F.col("n") > 1) & F.col("b").isNotNull() & (F.greatest("a", "b") > 0), (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(0.0)
+    return met.groupBy(*keys).agg(F.round(F.avg(worth), 6).alias("silhouette"))
+
+
+def stability_grid(vectors: DataFrame, dims: list[int], ks: list[int], runs: int = 3) -> DataFrame:
+    """``grp, dims, k, n, ari, silhouette`` for each group of ``vectors(id, grp, vec)`` and each pair of settings.
+
+    ``ari`` is the mean agreement of all pairs of ``runs`` seeded k-means runs, ``silhouette`` that of the first; both are 0 for a
+    group of fewer than ``2 k`` rows. All fits of all groups are one job (``lloyd``).
+    """
+    grid = [(d, k) for d in dims for k in ks]
+    labels, _ = lloyd.fit(vectors, [lloyd.Setting(k, d, seed) for d, k in grid for seed in range(runs)])
+    labels = cut(labels, "runs")
+    label = lambda c, r: F.get("labels", F.lit(c * runs + r))
+    both = [F.struct(F.lit(c).alias("cfg"), F.lit(i * runs + j).alias("pair"), label(c, i).alias("la"), label(c, j).alias("lb")) for c in range(len(grid)) for i in range(runs) for j in range(i + 1, runs)]
+    pairs = labels.select("grp", F.explode(F.array(*both)).alias("x")).select("grp", "x.*")
+    agreed = adjusted_rand(pairs, "grp", "cfg", "pair").groupBy("grp", "cfg").agg(F.avg("ari").alias("ari"))
+    first = F.array(*[F.struct(F.lit(c).alias("cfg"), F.lit(d).alias("dims"), label(c, 0).alias("label")) for c, (d, _) in enumerate(grid)])
+    shown = labels.join(vectors.select("id", "vec"), "id").select("grp", F.explode(first).alias("x"), "vec")
+    shown = shown.select("grp", "x.cfg", "x.label", unit(F.slice("vec", F.lit(1), F.col("x.dims"))).alias("vec"))
+    facts = F.array(*[F.struct(F.lit(c).alias("cfg"), F.lit(d).alias("dims"), F.lit(k).alias("k")) for c, (d, k) in enumerate(grid)])
+    sizes = labels.groupBy("grp").agg(F.count("*").alias("n"))
+    out = sizes.select("grp", "n", F.explode(facts).alias("x")).select("grp", "n", "x.*").join(agreed, ["grp", "cfg"], "left").join(silhouettes(shown, "grp", "cfg"), ["grp", "cfg"], "left")
+    enough = lambda c: F.round(F.when(F.col("n") < 2 * F.col("k"), 0.0).otherwise(F.coalesce(c, F.lit(0.0))), 6).alias(c)
+    return out.select("grp", "dims", "k", "n", enough("ari"), enough("silhouette"))
 
 
 def length_tertiles(rows: DataFrame, cuts: tuple[float, float] = (0.33, 0.67)) -> DataFrame:

@@ -65,9 +65,9 @@ def resolve_links(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cleaned(spark: SparkSession, sf: str) -> DataFrame:
-    """Each document, its own lines and signs kept but emphasis and addresses, inside noise that the cleaning must remove."""
-    d = table(spark, sf, "documents").select("doc_id", F.regexp_replace("text", r"[*_]|https?", " ").alias("t"))
-    noisy = F.concat(F.lit("> **note** ![pic](http://x.y/z.png) [anchor](http://a.b) http://raw.url/x\n- [ ] task\n---\n\n\n\n"), "t", F.lit("\n***\n"))
+    """Each raw document, its own signs, lines and addresses in it, behind noise that the cleaning must remove."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    noisy = F.concat(F.lit("> **note** ![pic](http://x.y/z.png) [anchor](http://a.b) http://raw.url/x\n- [ ] task\n---\n\n\n\n"), "text")
     return d.select("doc_id", F.sha2(F.regexp_replace(X.clean(noisy), r"(?U)\s+", " "), 256).alias("sha"))
 
 
@@ -175,7 +175,8 @@ QUERIES = {
     "clean_text": (
         cleaned,
         """SELECT doc_id, sha256('note anchor task' || CASE WHEN t = '' THEN '' ELSE ' ' || t END) AS sha FROM
-        (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[*_]|https?', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM documents)""",
+        (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?m)^>[\\t ]?', '', 'g'), 'https?://\\S+', '', 'g'),
+        '(?s)\\*{1,3}(.*?)\\*{1,3}|_{1,3}(.*?)_{1,3}', '\\1\\2', 'g'), '\\s+', ' ', 'g')) AS t FROM documents)""",
     ),
     "content_ids": (
         lambda s, d: notes(s, d).select("path", segment_id(F.col("path"), F.col("content")).alias("id")),

@@ -9,7 +9,9 @@ from notegraph.functions.vectors import dot, head, norm, unit
 from notegraph.operators import cluster as C
 from notegraph.operators import density as D
 from notegraph.operators import quality as I
+from notegraph.operators.tree import density_tree
 from notegraph.plans.views import table
+from notegraph.session import cut
 
 
 def vecs(spark: SparkSession, sf: str) -> DataFrame:
@@ -78,7 +80,7 @@ def probe_scores(spark: SparkSession, sf: str) -> DataFrame:
 def hub_stability(spark: SparkSession, sf: str) -> DataFrame:
     """Agreement of two seeded k-means runs inside each length tertile of the labelled vectors."""
     lengths = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.char_length("text").cast("long").alias("length"))
-    rows = vecs(spark, sf).drop("label").join(I.length_tertiles(lengths), "id").persist()
+    rows = cut(vecs(spark, sf).drop("label").join(I.length_tertiles(lengths), "id"), "tertiles")
     out = None
     for bucket in ("short", "medium", "long"):
         part = rows.where(F.col("bucket") == bucket).select("id", "vec")
@@ -89,7 +91,18 @@ def hub_stability(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
-DAGS = [C.Pass("fine", 32, 3, "areas"), C.Pass("areas", 64, 4)]
+def silhouette_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """The cosine silhouette of the given labels over the first 8, 16, 32 and 64 numbers, by label."""
+    v = vecs(spark, sf)
+    each = v.select(F.explode(F.array(*[F.lit(d) for d in (8, 16, 32, 64)])).alias("dims"), "label", "vec")
+    return I.silhouettes(each.select("dims", "label", unit(F.slice("vec", F.lit(1), F.col("dims"))).alias("vec")), "dims")
+
+
+def dag(spark: SparkSession, sf: str) -> DataFrame:
+    return C.cluster_dag(vecs(spark, sf).select("id", "vec"), DAGS).select("pass_id", "id", "label")
+
+
+DAGS = [C.Pass("points", 16, 2, "fine", least=4), C.Pass("fine", 32, 3, "areas"), C.Pass("areas", 64, 4)]
 
 UNIT = "list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE)))))"
 V = f"v AS (SELECT vec_id AS id, {UNIT} AS vec, CAST(label AS INTEGER) AS label FROM embeddings)"
@@ -202,7 +215,19 @@ QUERIES = {
     "kmeans": (lambda s, d: C.kmeans(vecs(s, d).select("id", "vec"), 8), None),
     "cluster_within": (lambda s, d: C.cluster_within(vecs(s, d).select("id", "vec"), labels(s, d), 3), None),
     "kmeans_grid": (lambda s, d: C.kmeans_grid(vecs(s, d).select("id", "vec"), [16, 64], [4, 8]), None),
-    "cluster_dag": (lambda s, d: C.cluster_dag(vecs(s, d).select("id", "vec"), DAGS), None),
+    "kmeans_grid_titles": (lambda s, d: C.kmeans_grid(vecs(s, d).select("id", "vec"), [16, 64], [4, 8], table(s, d, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 40).alias("name"))), None),
+    "cluster_dag": (dag, None),
+    "cluster_dag_stats": (lambda s, d: C.dag_stats(dag(s, d)), None),
+    "density_tree": (lambda s, d: density_tree(vecs(s, d).select("id", "vec"), 5, 3), None),
+    "within_hub_grid": (lambda s, d: I.stability_grid(vecs(s, d).select("id", F.col("label").alias("grp"), "vec"), [16, 64], [2, 4]), None),
+    "silhouette_grid": (
+        silhouette_grid,
+        f"""WITH {V}, d AS (SELECT unnest([8, 16, 32, 64]) AS dims), s AS (SELECT id, label, dims, vec[1:dims] AS x FROM v, d),
+        u AS (SELECT id, label, dims, list_transform(x, lambda e: e / sqrt(list_sum(list_transform(x, lambda y: y * y)))) AS x FROM s),
+        p AS (SELECT a.dims, a.id, a.label, b.label AS other, sum(1 - {DOT.format('a.x', 'b.x')}) AS gap, count(*) AS n FROM u a JOIN u b ON a.dims = b.dims AND a.id <> b.id GROUP BY 1, 2, 3, 4),
+        q AS (SELECT dims, id, max(gap / n) FILTER (label = other) AS a, min(gap / n) FILTER (label <> other) AS b FROM p GROUP BY 1, 2)
+        SELECT dims, round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM q GROUP BY 1""",
+    ),
     "project_2d": (lambda s, d: C.project_2d(vecs(s, d)), None),
     "similarity_gap": (
         lambda s, d: I.similarity_gap(vecs(s, d)),

@@ -36,7 +36,7 @@ def dated(spark: SparkSession, sf: str) -> DataFrame:
         F.col("o_orderstatus").alias("content"),
         F.date_format(F.date_add("o_orderdate", (F.col("o_orderkey") % 97).cast("int")), "yyyy-MM-dd").alias("ingested_at"),
     )
-    ev = table(spark, sf, "events").select(F.col("event_id").alias("id"), F.array("event_type").alias("augi_tags"))
+    ev = table(spark, sf, "events").select(F.col("event_id").alias("id"), F.array("event_type").alias("given_tags"))
     return o.join(tagged_blocks(spark, sf), "id").join(ev, "id", "left")
 
 
@@ -58,10 +58,10 @@ def summaries(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
     rows = d.select(
         F.col("doc_id").alias("id"), F.lit("data_block").alias("kind"), F.col("source").alias("title"), F.col("lang").alias("source"),
-        F.lit(None).cast("string").alias("block_time"), F.col("text").alias("content"), F.array("lang", "source").alias("tags"), F.lit(None).cast("array<string>").alias("augi_tags"),
+        F.lit(None).cast("string").alias("block_time"), F.col("text").alias("content"), F.array("lang", "source").alias("tags"), F.lit(None).cast("array<string>").alias("given_tags"),
     )
     short = B.summary(rows)
-    return short.withColumn("tags", F.array_join("tags", ",")).withColumn("augi_tags", F.array_join("augi_tags", ","))
+    return short.withColumn("tags", F.array_join("tags", ",")).withColumn("given_tags", F.array_join("given_tags", ","))
 
 
 def wanted_titles(spark: SparkSession, sf: str) -> DataFrame:
@@ -220,7 +220,7 @@ QUERIES = {
     ),
     "block_summary": (
         summaries,
-        """SELECT doc_id AS id, 'data_block' AS kind, source AS title, lang AS source, CAST(NULL AS VARCHAR) AS block_time, substr(text, 1, 500) AS content, lang || ',' || source AS tags, '' AS augi_tags FROM documents""",
+        """SELECT doc_id AS id, 'data_block' AS kind, source AS title, lang AS source, CAST(NULL AS VARCHAR) AS block_time, substr(text, 1, 500) AS content, lang || ',' || source AS tags, '' AS given_tags FROM documents""",
     ),
     "open_notes": (
         lambda s, d: opened(s, d)[0],

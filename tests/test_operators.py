@@ -260,7 +260,7 @@ def test_loops_between_parts(spark):
 
 def test_pages(spark):
     rows = [(i, "k", f"2024-01-{i:02d}", ["a"] if i % 2 else None, ["b"] if i == 4 else None) for i in range(1, 8)]
-    blocks = spark.createDataFrame(rows, "id int, kind string, block_time string, tags array<string>, augi_tags array<string>")
+    blocks = spark.createDataFrame(rows, "id int, kind string, block_time string, tags array<string>, given_tags array<string>")
     got, info = B.browse_page(blocks, 3, 1, kind="k")
     assert [r.id for r in got.collect()] == [6, 5, 4] and tuple(info.first()) == (3, 7, True, 4)
     got, info = B.browse_page(blocks, 3, 4)
