@@ -2,13 +2,13 @@
 
 Base spans, leftmost non-overlapping per kind (``assign``, ``access``, ``hex``), always stay. Besides them every whole run of
 ``LEAST`` or more token characters is a candidate if a sensitive word is in it or at most ``NEAR`` characters before or behind
-it (that is what sensitive context means here). The candidate is compressed by zstandard primed with a raw
+it (that is what sensitive context means here; ``near`` of :func:`scan`). The candidate is compressed by zstandard primed with a raw
 dictionary: common identifiers, then the text around it. What that adds in bytes beyond an empty frame is what neither
 the surroundings nor the identifiers explain. A candidate is reported as ``novel`` if it, a part of ``WINDOW`` characters or
 a part between its separators adds at least the share ``NOVEL`` of what random text of its length over its alphabet (the smallest of
-``ALPHABETS`` that holds it) adds. Known words, paths and repeated names cost a fraction of that. Letters without digits are
-reported as well, but where they follow each other as in words (names and paths that nothing explains do), only if a
-sensitive word is directly said to be them (``passphrase: ...``, ``the token is ...``).
+``ALPHABETS`` that holds it) adds. Known words, paths and repeated names cost a fraction of that. Two sorts of run are reported
+only if a sensitive word is directly said to be them (``passphrase: ...``, ``the token is ...``): letters that follow each other
+as in words (names and paths that nothing explains do), and digits alone, which never compress, be they a card or an order number.
 
 One regular-expression pass (Arrow's, linear in the text) finds the rows worth reading; only those reach Python.
 
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from notegraph.llm.common import arrow_of, slim
 
 KINDS = ("assign", "access", "hex", "novel")
-NOVEL, LEAST, NEAR, AROUND, WINDOW = 0.9, 16, 40, 400, 64
+NOVEL, LEAST, NEAR, AROUND, WINDOW, DRAWS = 0.9, 16, 40, 400, 64, 16
 _UP, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 ALPHABETS = (
     _DIGITS, _DIGITS + "abcdef", _DIGITS + "ABCDEF", _UP, _UP.lower(), _UP + "234567", _UP.lower() + "234567",
@@ -60,6 +60,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 SENSITIVE = re.compile("|".join(map(_either, ("secret", "token", "passw", "passphrase", "credential", "bearer", "api_key", "apikey", "private_key", "access_key", "client_id"))))
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
 SEPARATORS = re.compile(r"[+/_=-]+")
+NUMBER = re.compile(r"[0-9+/_=-]+")
 #: A sensitive word that is directly said to be what follows.
 BOUND = re.compile(f"(?:{SENSITIVE.pattern})[A-Za-z_]*[\"']?\\s*(?:is|:|=>?)\\s*[\"'`]?$")
 #: Pairs of a letter that the letters' own shares stand for, and the bits a letter under which a run is like words.
@@ -108,7 +109,7 @@ def random_cost(alphabet: int, n: int) -> float:
     (Around some lengths zstandard codes only part of the draws by entropy, so a mean would exceed many.)
     """
     draw, cctx = random.Random(n), _primed(IDENTIFIERS)
-    return min(_added(cctx, "".join(draw.choices(ALPHABETS[alphabet], k=n)).encode()) for _ in range(16 if n <= 1024 else 2))
+    return min(_added(cctx, "".join(draw.choices(ALPHABETS[alphabet], k=n)).encode()) for _ in range(DRAWS))
 
 
 def is_novel(candidate: str, before: str, after: str) -> bool:
@@ -136,7 +137,7 @@ def like_words(candidate: str, before: str, after: str) -> bool:
     return bits < WORDY * (len(run) - 1)
 
 
-def novel_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+def novel_spans(text: str, taken: list[tuple[int, int, int]], near: int = NEAR) -> list[tuple[int, int, int]]:
     """Candidates with a sensitive word in or near them, outside the base spans (sorted by start), that do not compress."""
     words = [m.span() for m in SENSITIVE.finditer(text)]
     begins, ends = [w[0] for w in words], [w[1] for w in words]
@@ -144,14 +145,14 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
     found = []
     for m in CANDIDATE.finditer(text) if words else ():
         at, end = m.span()
-        k = bisect.bisect_left(ends, at - NEAR)
-        if k == len(words) or begins[k] > end + NEAR:
+        k = bisect.bisect_left(ends, at - near)
+        if k == len(words) or begins[k] > end + near:
             continue
         k = bisect.bisect_left(starts, end)
         if k and reach[k - 1] > at:
             continue
         before, after = text[max(0, at - AROUND) : at], text[end : end + AROUND]
-        if like_words(m[0], before, after) and not BOUND.search(before[-2 * NEAR :]):
+        if (NUMBER.fullmatch(m[0]) or like_words(m[0], before, after)) and not BOUND.search(before[-2 * NEAR :]):
             continue
         if is_novel(m[0], before, after):
             found.append((at, end, 3))
@@ -165,8 +166,11 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 NONE = hashlib.sha256(b"").hexdigest()
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_novel`` for every row; one pass, no shuffle."""
+def scan(docs: DataFrame, near: int = NEAR) -> DataFrame:
+    """``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_novel`` for every row; one pass, no shuffle.
+
+    ``near``: how many characters before or behind a run a sensitive word may stand.
+    """
     ddl = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_novel bigint"
     schema = arrow_of(ddl)
 
@@ -180,7 +184,7 @@ def scan(docs: DataFrame) -> DataFrame:
                     continue
                 text = b.column(1)[k].as_py()
                 base = base_spans(text)
-                more = novel_spans(text, base)
+                more = novel_spans(text, base, near)
                 kinds = [x[2] for x in base]
                 digest = hashlib.sha256(joined(base).encode()).hexdigest()
                 out.append((kinds.count(0), kinds.count(1), kinds.count(2), digest, joined(sorted(base + more, key=lambda x: (x[0], x[2]))), len(more)))
