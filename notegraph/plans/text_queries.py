@@ -9,6 +9,7 @@ from notegraph.functions.ids import segment_id
 from notegraph.operators import tasks as K
 from notegraph.operators import text as X
 from notegraph.plans.views import conversation_notes, marked_notes, notes, table
+from notegraph.session import spread
 
 DAY = "printf('%04d-%02d-%02d', 2000 + doc_id % 25, 1 + doc_id % 12, 1 + doc_id % 28)"
 #: The three segments of each note of ``marked_notes``: the text with what is behind it, the fence, the part behind the marker.
@@ -66,7 +67,7 @@ def resolve_links(spark: SparkSession, sf: str) -> DataFrame:
 
 def cleaned(spark: SparkSession, sf: str) -> DataFrame:
     """Each raw document, its own signs, lines and addresses in it, behind noise that the cleaning must remove."""
-    d = table(spark, sf, "documents").select("doc_id", "text")
+    d = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     noisy = F.concat(F.lit("> **note** ![pic](http://x.y/z.png) [anchor](http://a.b) http://raw.url/x\n- [ ] task\n---\n\n\n\n"), "text")
     return d.select("doc_id", F.sha2(F.regexp_replace(X.clean(noisy), r"(?U)\s+", " "), 256).alias("sha"))
 
