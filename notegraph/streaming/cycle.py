@@ -50,7 +50,7 @@ def create(spark: SparkSession, base: str) -> None:
 
 
 def run_cycle(batch: DataFrame, base: str, number: int, make: Callable[[], EmbeddingModel]) -> None:
-    """One cycle over changes (path, event_ts, content).
+    """One cycle over changes (path, event_ts, content); null content: the note is gone, and its segments with it.
 
     Notes whose bytes are those of the last version are left alone. The others are split; segments of equal path and content
     keep their id, and so their vector. New segments and those whose vector failed before are embedded; a failure is a row
@@ -69,9 +69,9 @@ def run_cycle(batch: DataFrame, base: str, number: int, make: Callable[[], Embed
 
     known = current(before("files"), before("files")).select("path", F.col("hash").alias("old"))
     seen = newest(batch).withColumn("hash", short_hash(F.col("content"))).join(known, "path", "left")
-    changed = seen.where("old IS NULL OR old <> hash").select("path", "content", "hash")
+    changed = seen.where("NOT old <=> hash").select("path", "content", "hash")
     # segments first: the table of files is what makes a batch count
-    split = split_notes(changed.select("path", "content")).withColumn("id", segment_id(F.col("path"), F.col("content")))
+    split = split_notes(changed.where("content IS NOT NULL").select("path", "content")).withColumn("id", segment_id(F.col("path"), F.col("content")))
     segments = write(split.select(*[f.split()[0] for f in SCHEMAS["segments"].split(", ")]), "segments")
     files = write(changed.select("path", "hash"), "files")
     old = current(before("segments"), before("files")).join(files.select("path"), "path", "left_semi").select("path", "id").distinct().withColumn("o", F.lit(True))
