@@ -37,6 +37,8 @@ from notegraph.llm.common import WORD, cut, slim
 BLOCK, SHARD = 64, 1024
 WEIGHTS = (3, 1, 2)
 SEED = 20
+#: A share of a document as a whole number: so many make one.
+UNIT = 1 << 20
 #: Cells of the unit interval in which slots look for their source; slots that one task draws or lists.
 CELLS, SLOTS = 1024, 1 << 20
 #: Primes; one that does not divide the number of blocks is coprime to it.
@@ -181,17 +183,43 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEE
     return got.select(*columns).unionByName(none.select(*columns))
 
 
+def running(rows: DataFrame, of: Column, name: str) -> DataFrame:
+    """``rows(number, class, sub, words, h, doc_id, ...)`` with the sum of ``of`` over its source up to each row, short documents first.
+
+    Sums of whole numbers, so that every run agrees; sources are cut by class of size and part of it, and only the cuts' sums are
+    added in one place.
+    """
+    place = ["number", "class", "sub"]
+    rows = rows.withColumn("__of", of)
+    sums = rows.groupBy(*place).agg(F.sum("__of").alias("__sum"))
+    ahead = F.sum("__sum").over(Window.partitionBy("number").orderBy("class", "sub").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sums.select(*place, F.coalesce(ahead, F.lit(0)).alias("__start"))
+    inside = F.sum("__of").over(Window.partitionBy(*place).orderBy("words", "h", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.join(starts, place).withColumn(name, F.col("__start") + inside).drop("__of", "__start")
+
+
 def mixed_documents(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> DataFrame:
     """The documents as the mix has them: none, one or two rows of each. All columns stay.
 
-    A document's share of words taken, 0 to 2 of its size, is rounded up or down by a hashed number, so that whole documents
-    keep the mix's expected words. One without words stays once; rows with equal id and text go together.
+    A document's share of words taken, 0 to 2 of its size, is rounded up or down by where the cumulated shares of its source
+    pass whole numbers, documents of like size next to each other. What a source is then off its words, less than a longest
+    document or two, is made good by rounding some of its shortest the other way. One without words stays once; rows with
+    equal id and text go together.
     """
     sized = sizes(docs)
     targeted = targets(sized, block=block)
-    got = taken_words(sized, targeted, block, shard, seed).groupBy("doc_id", "h", "g").agg((F.sum("taken") / F.sum("size")).alias("part"))
-    times = F.floor(F.col("part") + uniform(F.lit(seed + 2), "h", "g"))
-    uses = got.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("g").alias("__g"), F.least(times, F.lit(2)).cast("int").alias("__uses"))
+    got = taken_words(sized, targeted, block, shard, seed).groupBy("number", "doc_id", "h", "g").agg(F.sum("taken").alias("taken"), F.sum("size").alias("words"))
+    got = got.withColumn("part", F.round(F.col("taken") / F.col("words") * UNIT).cast("long")).withColumn("class", F.floor(4 * F.log2("words")).cast("int"))
+    got = cut(got, "shares")
+    got = got.withColumn("sub", F.pmod("h", F.lit(max(1, got.count() >> 20))))
+    upto = F.col("upto") + F.pmod(F.xxhash64(F.lit(seed + 2), "number"), F.lit(UNIT))
+    times = F.floor(upto / UNIT) - F.floor((upto - F.col("part")) / UNIT)
+    once = cut(running(got, F.col("part"), "upto").withColumn("times", F.least(times, F.lit(2)).cast("long")).drop("upto"), "rounded")
+    off = once.groupBy("number").agg((F.sum("taken") - F.sum(F.col("times") * F.col("words"))).alias("off"))
+    turn = F.when((F.col("off") > 0) & (F.col("times") * UNIT < F.col("part")), 1).when((F.col("off") < 0) & (F.col("times") * UNIT > F.col("part")), -1).otherwise(0)
+    turned = running(once.join(off, "number").withColumn("turn", turn), F.abs("turn") * F.col("words"), "spent")
+    times = F.col("times") + F.when(F.col("spent") <= F.abs("off"), F.col("turn")).otherwise(0)
+    uses = turned.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("g").alias("__g"), times.cast("int").alias("__uses"))
     none = sized.where("size = 0").select("doc_id", "h", "g", F.lit(1)).distinct().toDF("__id", "__h", "__g", "__uses")
     uses = cut(uses.where("__uses > 0").unionByName(none), "uses")
     keyed = docs.withColumn("__h1", F.xxhash64("doc_id", "text"))

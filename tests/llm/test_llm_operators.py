@@ -344,6 +344,21 @@ def test_whole_documents_of_the_mix_come_near_the_targets(spark):
         assert abs(got[s] / t - 1) < 0.05
 
 
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_mix_of_the_given_documents_hits_its_targets(spark, sf):
+    """Each source is within 2 % of its target (12 % where it has ten documents), however the rows are dealt."""
+    d = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet")
+    size, got = Counter(), Counter()
+    for r in d.collect():
+        size[r.source] += len(words(r.text))
+    mixed = mixing.mixed_documents(d.repartition(3)).collect()
+    for r in mixed:
+        got[r.source] += len(words(r.text))
+    for s, t in brute_targets(size).items():
+        assert abs(got[s] / t - 1) < (0.02 if sf == "0.01" else 0.12), (s, got[s] / t)
+    assert Counter(r.doc_id for r in mixed) == Counter(r.doc_id for r in mixing.mixed_documents(d.repartition(5)).collect())
+
+
 def test_every_block_is_drawn_evenly(spark):
     counts = spark.createDataFrame([(0, 97, 0, 0, 150), (1, 5, 0, 0, 10)], "number int, blocks long, shard int, first long, n long")
     got = mixing.drawn_blocks(counts).collect()
