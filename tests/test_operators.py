@@ -379,3 +379,13 @@ def test_ingest_replaces_paths(spark, tmp_path):
 
     got = W.ingest(rows, split_notes, "again")
     assert {(r.path, r.content) for r in got.collect()} == {("a", "z")}
+
+
+def test_knn_passes_on_k_rows_a_task_however_many_are_equal(spark):
+    rows = [(f"v{k:04d}", [1.0, 0.0]) for k in range(1000)] + [("near", [0.8, 0.6]), ("a-tie", [1.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "id string, vec array<double>").repartition(3)
+    queries = spark.createDataFrame([("q", [1.0, 0.0]), ("p", [0.8, 0.6])], "query_id string, vec array<double>")
+    assert S._nearest(queries, vectors, 4).count() <= 2 * 4 * 3
+    got = sorted((r.query_id, r["rank"], r.id, r.dist) for r in S.knn(queries, vectors, 4).collect())
+    assert [g[2] for g in got] == ["near", "a-tie", "v0000", "v0001", "a-tie", "v0000", "v0001", "v0002"]
+    assert got[1][3] == pytest.approx(0.632456) and got[4][3] == 0.0
