@@ -39,7 +39,7 @@ FOLDER = "/usr/share/common-licenses"
 TEXTS = 8 << 20
 CUE = r"(?i)licen[cs]e|copyright|rights reserved|public domain|spdx|copying"
 FILE = r"(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$"
-#: One-line headers.
+#: One-line headers; below, the notices of the GNU licences by version and the identifiers of SPDX are added by rule.
 TEMPLATES = (
     ("MIT", "Released under the MIT License"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software under the MIT license"),
@@ -58,6 +58,15 @@ TEMPLATES = (
     ("Proprietary", "All rights reserved"),
     ("Proprietary", "Copyright. All rights reserved. No part may be reproduced without permission"),
 )
+#: Licences with a notice of their own: name, what stands before "General Public License", version.
+GNU = (("GPL-2.0", "", "2"), ("GPL-3.0", "", "3"), ("LGPL-2.1", "Lesser ", "2.1"), ("LGPL-3.0", "Lesser ", "3"), ("AGPL-3.0", "Affero ", "3"))
+_NOTICE = "you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version"
+_IDENTIFIED = sorted({name for name, _ in TEMPLATES if name != "Proprietary"} | {name for name, _, _ in GNU} | {"BSD-2-Clause", "ISC", "Zlib"})
+TEMPLATES += (
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file"),
+    *((name, _NOTICE.format(kind, version)) for name, kind, version in GNU),
+    *((name, f"SPDX-License-Identifier: {name}") for name in _IDENTIFIED),
+)
 _PERMIT = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
 _KEEP = """1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in
