@@ -36,5 +36,5 @@ def test_registered_with_all_stages(spark, sf):
     import __spark_entry__ as e
 
     names = e.queries()
-    assert {"pipeline"} <= set(names) and len([n for n in names if n.startswith("op") and n[2].isdigit()]) == 10
+    assert {"pipeline"} <= set(names) and len([n for n in names if n.startswith("op") and n[2].isdigit()]) == 13
     assert corpus_pipeline.run(spark, sf).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
