@@ -217,7 +217,10 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, see
     once = cut(running(got, F.col("part"), "upto").withColumn("times", F.least(times, F.lit(2)).cast("long")).drop("upto"), "rounded")
     off = once.groupBy("number").agg((F.sum("taken") - F.sum(F.col("times") * F.col("words"))).alias("off"))
     turn = F.when((F.col("off") > 0) & (F.col("times") * UNIT < F.col("part")), 1).when((F.col("off") < 0) & (F.col("times") * UNIT > F.col("part")), -1).otherwise(0)
-    turned = running(once.join(off, "number").withColumn("turn", turn), F.abs("turn") * F.col("words"), "spent")
+    # by class of size and part of it as well: a source may hold a third of all documents
+    place = ["number", "class", "sub"]
+    near = once.groupBy(*place).agg(F.lit(1).alias("one")).drop("one").join(off, "number")
+    turned = running(once.join(near, place).withColumn("turn", turn), F.abs("turn") * F.col("words"), "spent")
     times = F.col("times") + F.when(F.col("spent") <= F.abs("off"), F.col("turn")).otherwise(0)
     uses = turned.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("g").alias("__g"), times.cast("int").alias("__uses"))
     none = sized.where("size = 0").select("doc_id", "h", "g", F.lit(1)).distinct().toDF("__id", "__h", "__g", "__uses")
