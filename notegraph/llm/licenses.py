@@ -1,12 +1,15 @@
 """License scans, in DataFrame operations only: TF-IDF cosine to templates, then inheritance along directories.
 
-Two things are compared with templates. *Licence files*: the whole text of every document with a licence cue, as a TF-IDF
-vector ((1 + ln tf) * idf, idf counted over these documents), with the vectors of whole licence texts; a cosine of ``FILE_LEAST`` or
-more names the licence. Whole texts are the short ones below and those of a folder, one file a licence, its name the licence's
-(``folder``, by default where a Debian system keeps its common licences; a folder that is not there adds none). *Headers*: the
-lines with a cue, with one-line templates, idf counted over these lines of the whole corpus; the best line with a cosine of
-``LEAST`` or more names the licence, where the document as a whole names none. "All rights reserved" counts only where
-nothing else is named, and a text whose lines name three licences or more talks about licences and declares none.
+Three things are compared with templates. *Licence files*: the whole text of every document with a licence cue or a disclaimer's
+words, as a TF-IDF vector ((1 + ln tf) * idf, idf counted over these documents), with the vectors of whole licence texts; a cosine of
+``FILE_LEAST`` or more names the licence. Whole texts are the short ones below and those of a folder, one file a licence, its name the
+licence's (``folder``, by default the public texts that lie beside this module; None adds none). *Parts*: a piece of a licence text
+is as near to it as the whole is, if only the piece's own terms are looked at: the cosine of its vector with the template's on those
+terms. ``PART_LEAST`` or more names the licence if the two share ``PART_TERMS`` terms, or ``FEW_TERMS`` where no line names one.
+*Headers*: the lines with a cue, each by itself and with the lines before and behind it (notices are wrapped), with one-line
+templates, idf counted over these of the whole corpus; the best line with a cosine of ``LEAST`` or more names the licence, where the
+document as a whole names none. "All rights reserved" counts only where nothing else is named, and a text whose lines name
+three licences or more talks about licences and declares none.
 
 Only terms of the templates, whose number and size are bounded (``TEXTS``), are sent to tasks; any other term weighs as one
 that is seen once. A file is a licence file of its directory if its text is one, if its name says so, or if the lines that count
@@ -33,11 +36,15 @@ from pyspark.sql import functions as F
 
 from notegraph.llm.common import cut, salt, slim
 
-LEAST, FILE_LEAST, SALT_ROWS = 0.6, 0.9, 1 << 17
-FOLDER = "/usr/share/common-licenses"
+LEAST, FILE_LEAST, PART_LEAST, SALT_ROWS = 0.6, 0.9, 0.88, 1 << 17
+PART_TERMS, FEW_TERMS = 80, 30
+#: Public licence texts, word for word as their publishers ask.
+FOLDER = os.path.join(os.path.dirname(__file__), "licence_texts")
 #: The most characters that the whole texts may have together.
 TEXTS = 8 << 20
 CUE = r"(?i)licen[cs]e|copyright|rights reserved|public domain|spdx|copying"
+#: Words that pieces of a licence text have where they have no cue.
+TEXT_CUE = r"(?i)warrant(?:y|ies)\b|redistribut|merchantab"
 FILE = r"(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$"
 #: One-line headers; below, the notices of the GNU licences by version and the identifiers of SPDX are added by rule.
 TEMPLATES = (
@@ -118,7 +125,7 @@ def template_terms() -> list[tuple[str, Counter]]:
 def text_templates(folder: str | None = FOLDER) -> list[tuple[str, Counter]]:
     """Name and term counts of the whole texts. Numbers in file names become versions (GPL-3: GPL-3.0)."""
     texts = list(TEXT_TEMPLATES)
-    for file in sorted(os.listdir(folder)) if folder and os.path.isdir(folder) else ():
+    for file in sorted(os.listdir(folder)) if folder else ():
         path = os.path.join(folder, file)
         if os.path.isfile(path) and not os.path.islink(path):
             name = f"{file}-3-Clause" if file == "BSD" else re.sub(r"-(\d)$", r"-\1.0", file)
@@ -130,26 +137,33 @@ def text_templates(folder: str | None = FOLDER) -> list[tuple[str, Counter]]:
 
 
 def passages(docs: DataFrame) -> DataFrame:
-    """``row_id, doc_id, path, n_words, lines`` (the lines with a cue), ``text`` (where there is a cue); written once."""
+    """``row_id, doc_id, path, n_words, lines`` (the lines with a cue: text, prev, next), ``text`` (where there is a cue); written once."""
     text = F.coalesce(F.col("text"), F.lit(""))
     cued = text.rlike(CUE)
-    lines = F.when(cued, F.filter(F.split(text, "\n"), lambda x: x.rlike(CUE))).otherwise(F.array().cast("array<string>"))
     rows = slim(docs, "doc_id", "path", "text").select(
         F.monotonically_increasing_id().alias("row_id"),
         "doc_id",
         F.coalesce("path", F.lit("")).alias("path"),
-        F.when(cued, F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))).otherwise(0).alias("n_words"),
-        lines.alias("lines"),
-        F.when(cued, text).alias("text"),
+        F.when(cued | text.rlike(TEXT_CUE), text).alias("text"),
+        F.when(cued, F.split(text, "\n")).otherwise(F.array().cast("array<string>")).alias("parts"),
     )
+    parts = F.col("parts")
+    # shifted copies beside each other, so that no line looks its neighbours up; the entry behind the last line has no text
+    beside = F.arrays_zip(parts.alias("text"), F.concat(F.array(F.lit("")), parts).alias("prev"), F.slice(parts, 2, F.size(parts)).alias("next"))
+    rows = rows.select(
+        "row_id", "doc_id", "path", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).alias("n_words"),
+        F.filter(beside, lambda x: x["text"].rlike(CUE)).alias("lines"), "text",
+    )
     return cut(rows, "passages")
 
 
 # cosine -----------------------------------------------------------------------------------------------------------------
 
 
-def best_match(rows: DataFrame, keys: list[str], templates: list[tuple[str, Counter]], least: float) -> DataFrame:
-    """``keys, license, score``: the template nearest to each text of ``rows(keys, text)``, where the cosine is ``least`` or more.
+def best_match(rows: DataFrame, keys: list[str], templates: list[tuple[str, Counter]], least: float, parts: bool = False) -> DataFrame:
+    """``keys, license, score, rank``: the template nearest to each text of ``rows(keys, text)``, where the cosine is ``least`` or
+    more. With ``parts`` also ``part``, a struct of score, rank, license and shared (terms): the nearest template on the text's
+    own terms; then rows stay where either is near enough, the first three null where only ``part`` is.
 
     Terms weigh (1 + ln tf) * idf, idf counted over ``rows``. A row of words and counts per text is all that is shuffled, so
     one very long text is no task's burden.
@@ -172,13 +186,28 @@ def best_match(rows: DataFrame, keys: list[str], templates: list[tuple[str, Coun
     rare = math.log((1 + n) / 2) + 1 if n else 1.0
     met = words.join(F.broadcast(table), "term", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(rare)))
     dots = [F.sum(F.col("x") * at(k)).alias(f"dot{k}") for k in range(len(templates))]
+    if parts:
+        dots += [F.sum(at(k) * at(k)).alias(f"vv{k}") for k in range(len(templates))]
+        dots += [F.count_if(at(k) > 0).alias(f"n{k}") for k in range(len(templates))]
     sums = met.groupBy(*keys).agg(F.sum(F.col("x") * F.col("x")).alias("xx"), *dots)
     cosines = [
         F.struct((F.coalesce(f"dot{k}", F.lit(0.0)) / (F.sqrt("xx") * norms[k])).alias("score"), F.lit(-k).alias("rank"), F.lit(name).alias("license"))
         for k, (name, _) in enumerate(templates)
     ]
-    best = sums.select(*keys, F.array_max(F.array(*cosines)).alias("b")).where(F.col("b.score") >= least)
-    return best.select(*keys, "b.license", "b.score", "b.rank")
+    if not parts:
+        best = sums.select(*keys, F.array_max(F.array(*cosines)).alias("b")).where(F.col("b.score") >= least)
+        return best.select(*keys, "b.license", "b.score", "b.rank")
+    pieces = [
+        F.when(
+            F.col(f"n{k}") >= FEW_TERMS,
+            F.struct((F.col(f"dot{k}") / F.sqrt(F.col("xx") * F.col(f"vv{k}"))).alias("score"), F.lit(-k).alias("rank"), F.lit(name).alias("license"), F.col(f"n{k}").alias("shared")),
+        )
+        for k, (name, _) in enumerate(templates)
+    ]
+    best = sums.select(*keys, F.array_max(F.array(*cosines)).alias("b"), F.array_max(F.array(*pieces)).alias("p"))
+    whole, part = F.col("b.score") >= least, F.col("p.score") >= PART_LEAST
+    best = best.where(whole | part)
+    return best.select(*keys, *[F.when(whole, F.col(f"b.{c}")).alias(c) for c in ("license", "score", "rank")], F.when(part, F.col("p")).alias("part"))
 
 
 def parent(path: Column) -> Column:
@@ -188,21 +217,29 @@ def parent(path: Column) -> Column:
 def scan(docs: DataFrame, least: float = LEAST, folder: str | None = FOLDER) -> DataFrame:
     """``doc_id, path, license, score, declared, inherited_from`` for every row of (doc_id, path, text)."""
     found = passages(docs)
-    lined = found.where(F.size("lines") > 0).select("row_id", F.posexplode("lines").alias("line_no", "text"))
-    near = best_match(lined, ["row_id", "line_no"], template_terms(), least)
-    lined = lined.join(near, ["row_id", "line_no"]).withColumn("best", F.struct("score", "rank", "license"))
+    lined = found.where(F.size("lines") > 0).select("row_id", F.posexplode("lines").alias("line_no", "x")).select("row_id", "line_no", "x.*")
+    wide = F.concat_ws("\n", F.col("prev"), F.col("text"), F.col("next"))
+    ways = F.when((F.coalesce("prev", F.lit("")) == "") & (F.coalesce("next", F.lit("")) == ""), F.array("text")).otherwise(F.array(F.col("text"), wide))
+    near = best_match(lined.select("row_id", "line_no", F.posexplode(ways).alias("way", "text")), ["row_id", "line_no", "way"], template_terms(), least)
+    near = near.groupBy("row_id", "line_no").agg(F.max(F.struct("score", "rank", "license")).alias("best"))
+    lined = lined.join(near, ["row_id", "line_no"])
     words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
     real = F.col("best.license") != "Proprietary"
     own = lined.groupBy("row_id").agg(
         F.max(F.when(real, F.col("best"))).alias("named"), F.max("best").alias("any"), F.count_distinct(F.when(real, F.col("best.license"))).alias("names"), F.sum(words).alias("words")
     )
-    own = own.where("names < 3").select("row_id", F.coalesce("named", "any").alias("best"), "words")
-    whole = best_match(found.where("text IS NOT NULL").select("row_id", "text"), ["row_id"], text_templates(folder), FILE_LEAST)
-    whole = whole.select("row_id", F.col("license").alias("text_license"), F.col("score").alias("text_score"))
+    own = own.where("names < 3").select("row_id", "named", "any", "words")
+    whole = best_match(found.where("text IS NOT NULL").select("row_id", "text"), ["row_id"], text_templates(folder), FILE_LEAST, parts=True)
+    long = F.when(F.col("part.shared") >= PART_TERMS, F.col("part"))
+    whole = whole.select(
+        "row_id", F.coalesce("license", long["license"]).alias("text_license"), F.coalesce("score", long["score"]).alias("text_score"),
+        F.col("part.license").alias("part_license"), F.col("part.score").alias("part_score"),
+    )
     rows = found.select("row_id", "doc_id", "path", "n_words").join(own, "row_id", "left").join(whole, "row_id", "left")
     rows = rows.select(
         "row_id", "doc_id", "path", parent(F.col("path")).alias("dir"), "n_words", "words",
-        F.coalesce("text_score", "best.score").alias("score"), F.coalesce("text_license", "best.license").alias("license"), F.col("text_license").isNotNull().alias("is_text"),
+        *[F.coalesce(f"text_{c}", f"named.{c}", f"part_{c}", f"any.{c}").alias(c) for c in ("score", "license")],
+        (F.col("text_license").isNotNull() | (F.col("named").isNull() & F.col("part_license").isNotNull())).alias("is_text"),
     )
     rows = cut(rows, "declared")
 
