@@ -1,13 +1,14 @@
 """Quality rules: surface counts, then a hashed n-gram log-likelihood ratio between trusted and raw text.
 
 Words and word pairs are hashed into ``BUCKETS`` buckets. Two multinomials with add-one smoothing are counted: the raw
-one over all documents, the trusted one over labelled good documents (a sample of at most ``TRUSTED`` rows, chosen by
-hash of doc_id, so that the list of ids sent to the tasks has a fixed size). A document's score is the mean over its
+one over all documents, the trusted one over all documents labelled good. A document's score is the mean over its
 n-grams (and ``PRIOR`` neutral ones) of log p_trusted - log p_raw. It is kept if the rules pass it and the score is at least ``threshold``, which is
-set between what trusted documents that were not counted and what documents labelled bad score (see ``least_score``); the
-comparison is deterministic for every document.
+set between what all trusted documents and all documents labelled bad score (see ``least_score``). A row scores higher where its
+own words count, so for the threshold each trusted row is scored with its own words taken out of the trusted counts
+(``Model.left_out``). The comparison is deterministic for every document.
 
-The text is read three times and never shuffled; what travels is a row of counts per task.
+``verdicts`` reads the text twice, ``keep_good`` three times. To be counted the text meets the labels' ids in one shuffle; else what
+travels is a row of counts per task, and for the threshold a row of numbers per document.
 
 Defined results: null text has no words, so the rules reject it; a text without words scores 0; ``n_symbols`` and lines
 follow the raw text; texts of any length are counted whole; repeated rows get equal verdicts; with no trusted rows every score
@@ -17,6 +18,8 @@ is 0 and only the rules decide; an empty table gives no rows; extra columns are
 from __future__ import annotations
 
 import dataclasses
+import functools
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,13 +32,14 @@ from pyspark.sql import functions as F
 from notegraph.llm.common import arrow_of, cut, slim
 
 BUCKETS = 1 << 16
-TRUSTED = 20_000
-#: Share of the trusted sample that may score below the threshold, and the largest margin (in nats) below that point.
+#: Share of the trusted rows that may score below the threshold, and the largest margin (in nats) below that point.
 TAIL, MARGIN = 0.001, 0.2
 #: Tuning rows from which on labelled bad rows, and the spread of the rows themselves, narrow the margin.
 FEW, SPREAD = 20, 100
 #: N-grams of neutral evidence added to every document, so that short ones are not rejected on a few rare words.
 PRIOR = 50
+#: Bins a round in which a score of a given rank is looked for.
+BINS = 4096
 HELD = 150_000
 SYMBOLS = b"#*$%&|<>"
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -96,30 +100,49 @@ def surface(text: str, raw: bytes, words: list[bytes], hashes: np.ndarray) -> tu
 
 @dataclasses.dataclass(frozen=True)
 class Model:
-    """Log ratio by bucket, and the least mean that is kept."""
+    """Trusted counts (plus one) and share of the raw text by bucket, and the least mean that is kept.
 
-    ratio: np.ndarray
-    threshold: float
+    The raw multinomial also covers n-grams the trusted rows, being fewer, have not met: both are smoothed by what the
+    other's scale gives a bucket.
+    """
+
+    good: np.ndarray
+    share: np.ndarray
+    threshold: float = float("-inf")
+
+    @functools.cached_property
+    def total(self) -> float:
+        return float(self.good.sum())
+
+    @functools.cached_property
+    def ratio(self) -> np.ndarray:
+        """Log ratio by bucket; 0 where nothing is trusted."""
+        return self._log(self.good, self.share, self.total) if self.total > BUCKETS else np.zeros(BUCKETS)
 
-    def score(self, hashes: np.ndarray) -> float:
-        n = 2 * len(hashes) - 1
-        return float(self.ratio[ngram_buckets(hashes)].sum() / (n + PRIOR)) if n > 0 else 0.0
+    @staticmethod
+    def _log(good: np.ndarray, share: np.ndarray, total: float) -> np.ndarray:
+        smooth = 0.1 * total
+        return np.log((good + smooth * share) / (total + smooth)) - np.log(share)
 
+    def score(self, at: np.ndarray) -> float:
+        return float(self.ratio[at].sum() / (len(at) + PRIOR)) if len(at) else 0.0
 
-def trusted_ids(labels: DataFrame, most: int = TRUSTED, quality: int = 1) -> DataFrame:
-    """At most ``most`` ids of good (or bad) rows, by hash of the id: a fixed bound, whatever the table."""
-    good = labels.where(F.col("quality") == quality).select("doc_id").where("doc_id IS NOT NULL").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    def left_out(self, at: np.ndarray) -> float:
+        """What a counted row would score, were it not counted; without meaning for other rows."""
+        if not len(at):
+            return 0.0
+        b, n = np.unique(at, return_counts=True)
+        good, total = np.maximum(self.good[b] - n, 1), max(self.total - len(at), BUCKETS)
+        return float((n * self._log(good, self.share[b], total)).sum() / (len(at) + PRIOR))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = TRUSTED) -> Model:
-    """Count both multinomials and set the threshold from the trusted sample's own scores."""
-    spark = docs.sparkSession
-    # half of the sample is counted, the other half sets the threshold: rows score higher where their own words count
-    ids = trusted_ids(labels, most).withColumn("tune", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(2)) == 0)
-    ids = cut(ids, "trusted")  # at most ``most`` numbers
-    trusted = np.array(sorted(r[0] for r in ids.where("NOT tune").collect()), np.int64)
-    held = spark.sparkContext.broadcast(trusted)
+def labelled_ids(labels: DataFrame) -> DataFrame:
+    """``doc_id, good``: every id labelled good (quality 1) or bad (quality 0), once a label."""
+    return labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") == 1).alias("good")).distinct()
+
+
+def counted(rows: DataFrame, known: DataFrame) -> Model:
+    """Both multinomials, over every row of (doc_id, text) and over every one that is labelled good."""
     ddl = "bucket int, raw bigint, good bigint"
     schema = arrow_of(ddl)
 
@@ -133,8 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRUSTED) -> Model:
                     waiting[k].clear()
 
         for b in batches:
-            ids = b.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
-            for t, g in zip(b.column(1), np.isin(ids, held.value), strict=True):
+            for t, g in zip(b.column(0), b.column(1).to_pylist(), strict=True):
                 words = (t.as_py() or "").encode().split()
                 if words:
                     waiting[int(g)].append(ngram_buckets(known.of(words)).astype(np.int32))
@@ -145,39 +167,67 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRUSTED) -> Model:
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(raw[at]), pa.array(good[at])], schema=schema)
 
-    rows = slim(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counts = rows.mapInArrow(count, ddl).groupBy("bucket").agg(F.sum("raw"), F.sum("good"))
+    # the ids are as many as the labels: both sides are shuffled, whatever the size; rows without an id are dealt by number
+    one = F.coalesce("doc_id", F.monotonically_increasing_id())
+    rows = rows.select(one.alias("key"), F.col("doc_id").isNull().alias("none"), "text")
+    trusted = known.where("good").select(F.col("doc_id").alias("key"), F.lit(False).alias("none"), "good")
+    both = rows.join(trusted.hint("shuffle_hash"), ["key", "none"], "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
     raw, good = np.ones(BUCKETS), np.ones(BUCKETS)
-    for k, r, g in counts.collect():  # at most BUCKETS rows
+    for k, r, g in both.mapInArrow(count, ddl).groupBy("bucket").agg(F.sum("raw"), F.sum("good")).collect():  # at most BUCKETS rows
         raw[k] += r
         good[k] += g
-    if good.sum() == BUCKETS:
-        return Model(np.zeros(BUCKETS), float("-inf"))
-    # the raw multinomial also covers n-grams the trusted sample, being small, has not met: both are smoothed by what
-    # the other's scale gives a bucket
-    share_raw = raw / raw.sum()
-    smooth = 0.1 * good.sum()
-    ratio = np.log((good + smooth * share_raw) / (good.sum() + smooth)) - np.log(share_raw)
-    model = Model(ratio, float("-inf"))
-    bad = trusted_ids(labels, most, 0).select("doc_id", F.lit(False).alias("good"))
-    known = cut(ids.where("tune").select("doc_id", F.lit(True).alias("good")).unionByName(bad), "tuning-ids")
-    low = score(_only(rows, known.select("doc_id")), model).where(~base_failed()).join(F.broadcast(known), "doc_id")
-    return Model(ratio, least_score(cut(low.select("good", "score"), "tuning")))
+    return Model(good, raw / raw.sum())
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
+    """Count both multinomials and set the threshold from what all labelled rows score; also the scores of all rows."""
+    known = cut(labelled_ids(labels), "labelled")
+    rows = slim(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    model = counted(rows, known)
+    scored = cut(score(rows, model), "scored")
+    if model.total == BUCKETS:
+        return model, scored
+    seen = scored.where(~base_failed()).join(known.hint("merge"), "doc_id")
+    seen = cut(seen.select("good", F.when(F.col("good"), F.col("left_out")).otherwise(F.col("score")).alias("score")), "tuning")
+    return dataclasses.replace(model, threshold=least_score(seen)), scored
+
+
+def nth(scores: DataFrame, n: int) -> float:
+    """The n-th least ``score`` (the least: 0) of a table that has so many, exactly: the bin that holds it is dealt into ``BINS`` bins
+    until it holds one value, so no task and no list holds more than bins."""
+    low, high = scores.agg(F.min("score"), F.max("score")).first()
+    while low < high:
+        at = F.least(F.floor((F.col("score") - F.lit(low)) / F.lit((high - low) / BINS)), F.lit(BINS - 1))
+        inside = scores.where(F.col("score").between(low, high)).groupBy(at.alias("bin"))
+        for r in sorted(inside.agg(F.count("*").alias("n"), F.min("score").alias("low"), F.max("score").alias("high")).collect()):  # at most BINS rows
+            if n < r["n"]:
+                low, high = r["low"], r["high"]
+                break
+            n -= r["n"]
+    return float(low)
+
+
+def quantile(scores: DataFrame, n: int, share: float) -> float:
+    """Of ``n`` scores, linear between the two nearest ranks, as SQL's ``percentile``."""
+    at = share * (n - 1)
+    low = nth(scores, math.floor(at))
+    return low if at == math.floor(at) else low + (at - math.floor(at)) * (nth(scores, math.floor(at) + 1) - low)
 
 
 def least_score(known: DataFrame) -> float:
-    """The threshold, from (good, score) of labelled rows that the rules pass and the trusted counts left out.
+    """The threshold, from (good, score) of labelled rows that the rules pass, trusted ones as if not counted.
 
     It lies below all but ``TAIL`` of the good rows: halfway to the next bad row below that point, and no further down than
     the median lies above it, nor than ``MARGIN``.
     """
-    good = known.where("good").agg(F.percentile("score", TAIL), F.percentile("score", 0.5), F.count("*")).first()
-    if good[0] is None:
+    good = known.where("good")
+    n = good.count()
+    if not n:
         return float("-inf")
-    low, margin = float(good[0]), MARGIN
-    if good[2] >= SPREAD:
-        margin = min(margin, float(good[1]) - low)
-    if good[2] >= FEW:
+    low, margin = quantile(good, n, TAIL), MARGIN
+    if n >= SPREAD:
+        margin = min(margin, quantile(good, n, 0.5) - low)
+    if n >= FEW:
         below = known.where(~F.col("good") & (F.col("score") < low)).agg(F.max("score")).first()[0]
         if below is not None:
             margin = min(margin, (low - float(below)) / 2)
@@ -188,14 +238,9 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """``ids`` has a proven bound (``TRUSTED``), so it is sent to the tasks."""
-    return rows.join(F.broadcast(ids), "doc_id", "left_semi")
-
-
 def score(rows: DataFrame, model: Model) -> DataFrame:
-    """``doc_id``, the surface counts and ``score`` for every row of (doc_id, text)."""
-    ddl = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, score double"
+    """``doc_id``, the surface counts, ``score`` and ``left_out`` for every row of (doc_id, text)."""
+    ddl = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, score double, left_out double"
     schema = arrow_of(ddl)
     held = rows.sparkSession.sparkContext.broadcast(model)
 
@@ -208,8 +253,9 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
                 raw = text.encode()
                 words = raw.split()
                 hashes = known.of(words)
-                out.append((len(words), *surface(text, raw, words, hashes), held.value.score(hashes)))
-            columns = list(zip(*out, strict=True)) or [()] * 6
+                at = ngram_buckets(hashes)
+                out.append((len(words), *surface(text, raw, words, hashes), held.value.score(at), held.value.left_out(at)))
+            columns = list(zip(*out, strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), *[pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:], strict=True)]], schema=schema
             )
@@ -219,16 +265,15 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
 
 def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id``, counts, ``base_failed``, ``kept``, ``score`` for every document."""
-    model = fit(docs, labels)
-    rows = slim(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = score(rows, model).withColumn("base_failed", base_failed())
+    model, scored = fit(docs, labels)
+    out = scored.drop("left_out").withColumn("base_failed", base_failed())
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(model.threshold)))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are kept; all columns stay. Equal (doc_id, text) rows have equal verdicts; null and blank texts go; an
     empty table gives no rows."""
-    model = fit(docs, labels)
+    model, _ = fit(docs, labels)
     held = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.schema
 
@@ -240,7 +285,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 words = (t.as_py() or "").encode().split()
                 hashes = known.of(words)
                 bad = len(words) < 10 or 100 * repeated_words(hashes) > 20 * len(words)
-                keep.append(not bad and held.value.score(hashes) >= held.value.threshold)
+                keep.append(not bad and held.value.score(ngram_buckets(hashes)) >= held.value.threshold)
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, schema)
