@@ -2,8 +2,8 @@
 
 1. Equal vectors become one node with a weight; core distances and some more nearest neighbours come from ``density``.
 2. A spanning tree of smallest mutual reachability in Borůvka rounds: every component looks for its smallest outgoing edge. The
-   listed neighbours give one; where a row might have a shorter edge that is not listed, it is compared with the parts of
-   those cells only that come near enough and do not lie in its own component altogether. The largest component need not look.
+   listed neighbours give one; where a row might have a shorter edge that is not listed, it is compared with those cells only
+   that come near enough and do not lie in its own component altogether. The largest component need not look.
 3. Levels are read off the tree in bands of at most ``BAND`` edges, lightest first: what the lighter bands have joined is one
    piece, so a band is a forest over pieces, and each of its trees is worked through by itself. A piece of at least the least
    size is a cluster; lighter pieces fall into the cluster they meet, and clusters that meet end in a new one. Stability and
@@ -11,19 +11,21 @@
 4. Rows take the topmost chosen cluster above them, by pointer doubling.
 
 All merges at one distance are one step, so the result does not depend on the order of equal edges. The whole tree as a root is
-not a cluster. Where distances hardly differ step 2 compares nearly all parts, with the square of the rows.
+not a cluster. Where distances hardly differ step 2 compares nearly all rows, with their square.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from notegraph.operators.density import Cells, _gaps, components, cores, placed
+from notegraph.operators.density import Cells, against, components, cores, placed, squares
 from notegraph.session import cut
 
 #: Edges that are worked through at once, and the distance below which levels are not told apart.
@@ -32,47 +34,51 @@ EDGE = "a bigint, b bigint, w double"
 
 
 def _outside(rows: DataFrame, state: DataFrame, asking: DataFrame, cells: Cells, largest: int) -> DataFrame:
-    """``comp, a, b, w``: for each asking row's component the smallest edge out of it that is shorter than its ``bound``.
+    """``comp, a, b, w``: for each asking row's component the smallest edge out of it that is shorter than its ``bound``, by task.
 
-    ``rows(id, vec, core, home, part)``, ``state(id, comp)``, ``asking(id, bound)``.
+    ``rows(id, vec, core, home)``, ``state(id, comp)``, ``asking(id, bound)``.
     """
-    spark = rows.sparkSession
-    there = cut(rows.join(state, "id"), "outside")
-    whole = there.groupBy("home").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo = hi").collect()  # one row a cell
+    whole = rows.select("id", "home").join(state, "id").groupBy("home").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo = hi").collect()  # one row a cell
     only = np.full(len(cells.sizes), np.iinfo(np.int64).min)
     for r in whole:
         only[r["home"]] = r["lo"]
-    shared = spark.sparkContext.broadcast((cells, only))
-
-    def aim(batches):
-        cells, only = shared.value
-        for pdf in batches:
-            d = _gaps(np.stack(pdf["vec"].to_numpy()).astype(float), cells.pivots)
-            near = (cells.floor(d, pdf["home"].to_numpy()) < pdf["bound"].to_numpy()[:, None]) & (cells.sizes > 0)
-            near &= only[None] != pdf["comp"].to_numpy()[:, None]
-            yield pdf.assign(to=[[{"home": int(c), "part": p} for c in np.flatnonzero(row) for p in range(cells.parts[c])] for row in near])
-
-    ddl = "id bigint, vec array<double>, core double, home int, part int, comp bigint, bound double"
-    columns = ["id", "vec", "core", "home", "part", "comp", "bound"]
-    aimed = there.join(asking, "id").select(*columns).mapInPandas(aim, f"{ddl}, to array<struct<home: int, part: int>>")
-    left = cut(aimed.withColumn("to", F.explode("to")).select(*columns, F.col("to.home").alias("to_home"), F.col("to.part").alias("to_part")), "asking")
-    keys = ["home", "part", "to_home", "to_part"]
-    met = left.select(*[F.col(c).alias(f"of_{c}") for c in keys]).distinct()
-    right = there.select("id", "vec", "core", "comp", F.col("home").alias("of_to_home"), F.col("part").alias("of_to_part")).join(met, ["of_to_home", "of_to_part"])
-
-    def least(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame(columns=["comp", "a", "b", "w"])
-        if x.empty or y.empty:
-            return none
-        d = _gaps(np.stack(x["vec"].to_numpy()).astype(float), np.stack(y["vec"].to_numpy()).astype(float))
-        d = np.maximum(d, np.maximum(x["core"].to_numpy()[:, None], y["core"].to_numpy()[None]))
-        d[x["comp"].to_numpy()[:, None] == y["comp"].to_numpy()[None]] = np.inf
-        at = d.argmin(1)
-        out = pd.DataFrame({"comp": x["comp"].to_numpy(), "a": x["id"].to_numpy(), "b": y["id"].to_numpy()[at], "w": d[np.arange(len(x)), at].round(9)})
-        out = out[np.isfinite(out["w"])]
-        return out.sort_values("w", kind="stable").drop_duplicates("comp") if len(out) else none
-
-    return left.groupBy(*keys).cogroup(right.groupBy(*[f"of_{c}" for c in keys])).applyInPandas(least, f"comp bigint, {EDGE}")
+    shared = rows.sparkSession.sparkContext.broadcast(only)
+
+    def near(some: pd.DataFrame, d: np.ndarray, cells: Cells) -> np.ndarray:
+        reached = (cells.floor(d, some["home"].to_numpy()) < some["bound"].to_numpy()[:, None]) & (cells.sizes > 0)
+        return reached & (shared.value[None] != some["comp"].to_numpy()[:, None])
+
+    def start(block: dict[str, np.ndarray]):
+        comps, of = np.unique(block["comp"], return_inverse=True)
+        limit, edge, found = np.full(len(comps), np.inf), np.zeros((len(comps), 2), int), np.zeros(len(comps), bool)
+        limit[of] = block["bound"] ** 2  # one for all rows of a component
+        core = block["core"] ** 2
+
+        def tile(at: slice, others: dict[str, np.ndarray]) -> None:
+            d = squares(block["vec"][at], others["vec"])
+            np.maximum(d, others["core"][None] ** 2, out=d)
+            mine = np.flatnonzero(np.isin(others["comp"], comps))
+            if len(mine):
+                d[:, mine] = np.where(block["comp"][at][:, None] == others["comp"][mine][None], np.inf, d[:, mine])
+            to = d.argmin(1)
+            w = np.maximum(d[np.arange(len(d)), to], core[at])
+            better = np.flatnonzero(w < limit[of[at]])
+            if not len(better):
+                return
+            better = better[np.argsort(w[better], kind="stable")]
+            c, first = np.unique(of[at][better], return_index=True)
+            better = better[first]
+            limit[c], found[c] = w[better], True
+            edge[c, 0], edge[c, 1] = block["id"][at][better], others["id"][to[better]]
+
+        def result() -> Iterator[pa.RecordBatch]:
+            columns = [comps[found], edge[found, 0], edge[found, 1], np.sqrt(limit[found]).round(9)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["comp", "a", "b", "w"])
+
+        return tile, result
+
+    there = rows.join(state, "id")
+    return against(there.join(asking, "id"), there, cells, near, start, f"comp bigint, {EDGE}")
 
 
 def spanning_edges(core: DataFrame, near: DataFrame, vectors: DataFrame, cell: int = 1024) -> DataFrame:
@@ -84,7 +90,7 @@ def spanning_edges(core: DataFrame, near: DataFrame, vectors: DataFrame, cell: i
     n = core.count()
     if n < 2 or cells is None:
         return core.sparkSession.createDataFrame([], EDGE)
-    rows = cut(rows.join(core.select("id", "core"), "id").select("id", "vec", "core", "home", "part"), "tree-rows")
+    rows = cut(rows.join(core.select("id", "core"), "id").select("id", "vec", "core", "home"), "tree-rows")
     ca, cb = core.select(F.col("id").alias("a"), F.col("core").alias("core_a")), core.select(F.col("id").alias("b"), F.col("core").alias("core_b"))
     listed = near.join(ca, "a").join(cb, "b").select("a", "b", F.round(F.greatest("dist", "core_a", "core_b"), 9).alias("w"))
     live = cut(listed.unionByName(listed.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")), "listed")

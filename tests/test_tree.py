@@ -140,3 +140,25 @@ def test_spanning_tree_weight(spark, seed, monkeypatch):
             total += w
     assert len({find(p) for p in range(len(x))}) == 1
     assert total == pytest.approx(sum(e[0] for e in spanning(reachability(x, 3))))
+
+
+def test_rows_are_not_copied_for_every_cell(spark):
+    from notegraph import session
+    from notegraph.operators import density as D
+
+    r = np.random.default_rng(4)
+    x = np.concatenate([r.normal(size=(60, 8)) + 40 * np.eye(8)[g] for g in range(6)])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    app = spark.sparkContext.applicationId
+    before = set(session._written.get(app, []))
+    got = D.neighbours(rows, 3, cell=6).toPandas()
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    assert np.allclose(got.sort_values(["a", "dist"])["dist"].to_numpy().reshape(360, 3), np.sort(d, axis=1)[:, 1:4])
+    _, near, core = D.cores(rows, 2)
+    edges = T.spanning_edges(core, near, rows, cell=6).toPandas()
+    m = reachability(x, 2)
+    assert np.allclose(m[edges["a"], edges["b"]], edges["w"])
+    assert edges["w"].sum() == pytest.approx(sum(e[0] for e in spanning(m)))
+    # the listed edges, both ways, are the largest table: no row stands in a table once for each cell that it is compared with
+    written = [p for p in session._written[app] if p not in before]
+    assert max(spark.read.parquet(p).count() for p in written) <= 4 * 360
